@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quaverlake.llm.components import track_groups
+from quaverlake.llm.leaks import leaked
+from quaverlake.llm.lookalikes import disguised
+from quaverlake.llm.sentences import split_sentences
 from quaverlake.llm.survivors import best_tracks, golden_tracks
 from quaverlake.session import cut, table
 
@@ -30,7 +34,27 @@ def p4_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden_tracks(cut(_groups(spark, sf_dir)), *(table(spark, sf_dir, t) for t in ("tracks", "source_trust", "format_pref")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title and composer text that is partly made of other characters."""
+    return disguised(table(spark, sf_dir, "tracks"), "id", ("title", "composer")).select(F.col("id").alias("track_id"), "field")
+
+
+def p6_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those texts with the one form they are brought to."""
+    return disguised(table(spark, sf_dir, "tracks"), "id", ("title", "composer")).withColumnRenamed("id", "track_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with ten or more consecutive words of a test item."""
+    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document."""
+    return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p9_found": p9_found}
 
 _GROUPS = """
 pairs as (
