@@ -12,6 +12,8 @@ from quaverlake.llm.leaks import leaked
 from quaverlake.llm.lookalikes import disguised
 from quaverlake.llm.sentences import split_sentences
 from quaverlake.llm.survivors import best_tracks, golden_tracks
+from quaverlake.llm.variants import variant_pairs
+from quaverlake.operators.multivalue import split_values
 from quaverlake.session import cut, table
 
 
@@ -34,6 +36,20 @@ def p4_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden_tracks(cut(_groups(spark, sf_dir)), *(table(spark, sf_dir, t) for t in ("tracks", "source_trust", "format_pref")))
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, name, w) of all composers and of the single names of all performers."""
+    tracks = table(spark, sf_dir, "tracks")
+    composers = tracks.where("composer <> ''").groupBy("composer").agg(F.count("*").alias("w")).select(F.lit("composer").alias("field"), F.col("composer").alias("name"), "w")
+    texts = tracks.where("performer <> ''").groupBy("performer").agg(F.count("*").alias("w"))
+    performers = split_values(texts, "performer").join(texts, "performer").select(F.lit("performer").alias("field"), F.explode("names").alias("name"), "w")
+    return composers.unionByName(performers)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two different spellings of one composer, performer or ensemble."""
+    return variant_pairs(_names(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every title and composer text that is partly made of other characters."""
     return disguised(table(spark, sf_dir, "tracks"), "id", ("title", "composer")).select(F.col("id").alias("track_id"), "field")
@@ -54,7 +70,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p9_found": p9_found}
 
 _GROUPS = """
 pairs as (

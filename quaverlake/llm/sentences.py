@@ -82,6 +82,8 @@ def _next(p: str, i: int) -> str:
     """The first character from i on that is no blank, opening mark or dash of direct speech."""
     while i < len(p) and (p[i] in _BLANK or p[i] in PAIRS or p[i] in "\"'¿¡‘"):
         i += 1
+    if p[i : i + 1].islower() and p[i + 1 : i + 2].isupper():
+        return p[i + 1]  # a brand such as "iReel" opens a sentence too
     return p[i] if i < len(p) else ""
 
 
