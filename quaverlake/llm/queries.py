@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaverlake.llm.canon import canonical_tracks
 from quaverlake.llm.components import track_groups
 from quaverlake.llm.leaks import leaked
 from quaverlake.llm.lookalikes import disguised
@@ -21,6 +22,11 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_groups(table(spark, sf_dir, "match_pairs"), table(spark, sf_dir, "tracks"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list entry that each composer and work text means, or unmatched."""
+    return canonical_tracks(*(table(spark, sf_dir, t) for t in ("tracks", "composer_list", "works")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every track that match_pairs links to another."""
     return _groups(spark, sf_dir)
@@ -70,7 +76,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p9_found": p9_found}
 
 _GROUPS = """
 pairs as (

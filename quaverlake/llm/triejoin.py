@@ -22,9 +22,9 @@ QUESTIONS = 4_000
 
 
 def pieces(word: str, most: int) -> list[tuple[int, int]]:
-    """The (start, end) of the word's pieces: one more than edits, two for long words."""
+    """The (start, end) of the word's pieces: one more than edits, two where an exchange may straddle."""
     n = len(word)
-    k = most + 2 if n >= 8 and most > 1 else most + 1
+    k = most + 2 if n >= 8 or most == 1 else most + 1
     return [(n * i // k, n * (i + 1) // k) for i in range(k)]
 
 
