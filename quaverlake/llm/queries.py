@@ -11,6 +11,7 @@ from quaverlake.llm.canon import canonical_tracks
 from quaverlake.llm.components import track_groups
 from quaverlake.llm.leaks import leaked
 from quaverlake.llm.lookalikes import disguised
+from quaverlake.llm.mixing import mix, shares
 from quaverlake.llm.sentences import split_sentences
 from quaverlake.llm.survivors import best_tracks, golden_tracks
 from quaverlake.llm.variants import variant_pairs
@@ -71,12 +72,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document occurs in the mix of sources."""
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of every source in the mix, beside its target."""
+    return shares(cut(p8_mix(spark, sf_dir)), table(spark, sf_dir, "mix_target"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document."""
     return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 _GROUPS = """
 pairs as (
