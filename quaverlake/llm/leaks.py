@@ -13,6 +13,8 @@ import re
 import unicodedata as U
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,14 +29,15 @@ ITEMS = 20_000
 BLOCK, K1, B = 16, 1.2, 0.75
 
 _WORD = re.compile(r"[^\W_]+")
+#: Accents and characters that show nothing.
+_UNSEEN = dict.fromkeys(o for o in range(0xA0, 0xE0200) if U.category(chr(o)) in ("Mn", "Cf"))
 
 
 def words(text: str) -> list[str]:
     """Words without regard to letter case, accents, punctuation, spacing and unseen characters."""
     if text.isascii():
         return _WORD.findall(text.lower())
-    flat = "".join(c for c in U.normalize("NFKD", text.casefold()) if U.category(c) not in ("Mn", "Cf"))
-    return _WORD.findall(flat)
+    return _WORD.findall(U.normalize("NFKD", text.casefold()).translate(_UNSEEN))
 
 
 class Index:
@@ -121,15 +124,32 @@ class Index:
     def leaks(self, text: str) -> set[int]:
         """The ids of the items of which the text has a run."""
         ws = words(text)
-        top, out = self.top, set()
-        for i in range(0, max(1, len(ws) - RUN + 1), PASSAGE - RUN + 1):
-            passage = ws[i : i + PASSAGE]
-            query = {w for w in passage if w in top}
-            if len(query) and sum(top[w] for w in query) >= self.threshold:
-                for k in self.search(query):
+        bounds = list(map(self.top.get, ws))
+        out: set[int] = set()
+        # a run has only words of the index, and no more than the sum of their bounds: elsewhere
+        # a passage need not be asked for
+        n, i, whole = len(ws), 0, []
+        while i < n:
+            if bounds[i] is None:
+                i += 1
+                continue
+            j = i
+            while j < n and bounds[j] is not None:
+                j += 1
+            if j - i >= RUN:
+                whole.append((i, j))
+            i = j
+        for i, j in whole:
+            for a in range(i, max(i + 1, j - RUN + 1), PASSAGE - RUN + 1):
+                b = min(j, a + PASSAGE)
+                sums = list(accumulate(bounds[a:b], initial=0.0))
+                if max(map(sub, sums[RUN:], sums)) < self.threshold:
+                    continue
+                passage = ws[a:b]
+                for k in self.search(set(passage)):
                     if self.items[k][0] not in out:
                         runs = self.runs[k]
-                        if any(tuple(passage[j : j + RUN]) in runs for j in range(len(passage) - RUN + 1)):
+                        if any(tuple(passage[x : x + RUN]) in runs for x in range(len(passage) - RUN + 1)):
                             out.add(self.items[k][0])
         return out
 
