@@ -7,6 +7,7 @@ import unicodedata as U
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words that carry no meaning for search.
@@ -31,7 +32,7 @@ def first_text(*cs: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cs])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in U.normalize("NFKD", t) if U.category(c) != "Mn"))
 
@@ -202,7 +203,7 @@ def ellipsis(c: Column, n: int) -> Column:
 
 def cut_bytes(c: Column, n: int) -> Column:
     """At most n bytes of the text, whole characters only."""
-    return F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-8"), 1, n), "UTF-8"), "�+$", "")
+    return F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, n).cast("string")), "\ufffd+$", "")
 
 
 def display_title(context: str = "global") -> Column:
