@@ -194,9 +194,9 @@ def count_lookalikes(texts: DataFrame, column: str) -> dict[str, int]:
         n: Counter[str] = Counter()
         for pdf in batches:
             for t in pdf[column]:
-                if not t.isascii():
-                    n.update(k for _, (k, _v) in _counter().iter_long(t))
-        yield pd.DataFrame({"s": list(n), "n": list(n.values())}, columns=["s", "n"])
+                n.update(t if t.isascii() else (k for _, (k, _v) in _counter().iter_long(t)))
+        held = [k for k in n if k in classes()]
+        yield pd.DataFrame({"s": held, "n": [n[k] for k in held]}, columns=["s", "n"])
 
     rows = texts.where(F.col(column).isNotNull()).select(column).mapInPandas(count, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
     return {r.s: r.n for r in rows}

@@ -49,7 +49,7 @@ CLOSERS = "»”“」』›)）]》〉】\"'’"
 _BLANK = " \t  　      \r\n\f\v"
 _GAP = re.compile(r"\r?\n[^\S\n]*\n\s*")
 _EVENT = re.compile(rf"[.{re.escape(TERMS)};;]+|[{re.escape(''.join(PAIRS))}\"]|[฀-๿0-9][  ]+(?=[฀-๿])")
-_TAIL = re.compile(r"([^\W\d_぀-ヿ㐀-鿿가-힯]+(?:\.[^\W\d_]+)*)$")
+_TAIL = re.compile(r"([^\s\d_()\[\]«»“”„\"'‘’,;:!?/…。、！？「」『』—–\-\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+)$")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
@@ -101,14 +101,14 @@ def _period(p: str, i: int, end: int) -> bool:
         return True
     before = p[max(0, i - 24) : i]
     m = _TAIL.search(before)
-    if not m:
+    if not m or not m[1].strip("."):
         if before[-1:].isdigit() and nxt.isupper():
             num = re.search(r"(\S*)\s+(\d{1,2})$", before)
             follow = re.match(r"\s*(\w+)", p[end:])
             if num and follow and (follow[1] in MONTHS or (num[1] in ORDINAL_AFTER and p[end : end + 1] == " " and follow[1][0].isupper())):
                 return False
         return True
-    word = m[1]
+    word = m[1].lstrip(".")
     low = word.lower()
     if low in EITHER:
         return not (low in MEASURES and nxt.isdigit())
