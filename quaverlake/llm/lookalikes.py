@@ -145,8 +145,15 @@ class Rewriter:
         return best
 
     def __call__(self, text: str) -> str:
-        if text.isascii():
-            return text
+        # what shows nothing may stand between a letter and its accent: again until nothing changes
+        for _ in range(4):
+            plain = text if text.isascii() else self._once(text)
+            if plain == text:
+                break
+            text = plain
+        return text
+
+    def _once(self, text: str) -> str:
         own = self.own(text)
         if own not in self.automata:
             return self._run(text, "LATIN", keep=True)

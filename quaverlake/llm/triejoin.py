@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaverlake.llm.names import bound
+from quaverlake.llm.names import bound, osa
 
 #: Questions that one trie answers; more are dealt to copies of it.
 QUESTIONS = 4_000
@@ -44,16 +44,23 @@ def shards(word: str) -> tuple[list[str], list[str]]:
 class Trie:
     """Words by letters; ``near`` runs a word's Levenshtein automaton down it."""
 
+    #: So few words are compared one by one; the automaton pays from more on.
+    FEW = 4
+
     def __init__(self) -> None:
         self.root: dict = {}
+        self.words: list[str] = []
 
     def add(self, word: str) -> None:
+        self.words.append(word)
         node = self.root
         for ch in word:
             node = node.setdefault(ch, {})
         node[""] = word
 
     def near(self, word: str, most: int) -> list[tuple[str, int]]:
+        if len(self.words) <= self.FEW:
+            return [(w, d) for w in self.words if (d := osa(word, w, most)) <= most]
         out: list[tuple[str, int]] = []
         width = len(word) + 1
         stack = [(ch, sub, "", list(range(width)), None) for ch, sub in self.root.items() if ch]

@@ -76,7 +76,9 @@ def ensemble(text: str) -> tuple[str, str] | None:
     return (sound(best[1].rstrip(".")), best[2]) if best[2] else None
 
 
-_PARSED = "field string, name string, w long, sur string, giv string, full boolean, sur2 string, giv2 string"
+_PARSED = "field string, name string, w long, form string, sur string, giv string, full boolean, sur2 string, giv2 string"
+#: A word or name this many times as varied as another may be what the other was meant to be.
+VARIED = 12
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,9 +87,10 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for field, name, w in pdf[["field", "name", "w"]].itertuples(index=False, name=None):
             if placeholder(name):
                 continue
+            form = " ".join(re.findall(r"[^\W\d_]+|[.,]", re.sub(r"\([^)]*\d[^)]*\)", " ", flat(name))))
             body = ensemble(name) if field != "composer" else None
             if body:
-                out.append((field, name, w, body[0], "#" + body[1], True, None, None))
+                out.append((field, name, w, form, body[0], "#" + body[1], True, None, None))
                 continue
             sur, giv = person(name)
             if not sur:
@@ -95,7 +98,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = turned(sur, giv) if "," not in name else None
             first = giv[0] if giv else ""
             full = len(first.rstrip(".")) > 1 and not first.endswith(".") and not full_names(first)
-            out.append((field, name, w, sur, first, full, t[0] if t else None, t[1][-1] if t else None))
+            out.append((field, name, w, form, sur, first, full, t[0] if t else None, t[1][-1] if t else None))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARSED.split(", ")])
 
 
@@ -121,36 +124,45 @@ def name_entities(names: DataFrame) -> DataFrame:
     )
     f = cut(
         both.select(
-            "field", "name", "w",
+            "field", "name", "w", "form",
             F.when(F.col("turn"), F.col("sur2")).otherwise(F.col("sur")).alias("sur"),
             F.when(F.col("turn"), F.col("giv2")).otherwise(F.col("giv")).alias("giv"),
             F.when(F.col("turn"), F.lit(True)).otherwise(F.col("full")).alias("full"),
         )
     )
-    surs = f.groupBy("field", "sur").agg(F.sum("w").alias("sw"))
+    # a real word occurs in several forms (turned round, with initials, in short), a typing error in
+    # hardly more than one: the number of forms tells them apart where mere frequency cannot
+    varied = lambda d, *k: d.groupBy("field", *k, "form").agg(F.sum("w").alias("w")).groupBy("field", *k).agg(F.sum("w").alias("w"), F.count("*").alias("forms"))
+    surs = cut(varied(f, "sur"))
     near_s = cut(near_words(surs, "sur"))
-    givs = f.where("full and giv not like '#%'").groupBy("field", "giv").agg(F.sum("w").alias("gw"))
+    givs = cut(varied(f.where("full and giv not like '#%'"), "giv"))
     near_g = cut(near_words(givs, "giv"))
 
-    def toward(words: DataFrame, word: str, weight: str, near: DataFrame) -> DataFrame:
-        """(field, word, to, d): each word with itself and its commoner neighbours."""
-        other = words.select("field", F.col(word).alias("near"), F.col(weight).alias("ow"))
-        n = near.select(F.col("word").alias(word), "near", "edits")
-        up = words.join(n, word).join(other, ["field", "near"]).where((F.col("ow") > F.col(weight)) | ((F.col("ow") == F.col(weight)) & (F.col("near") < F.col(word))))
+    def toward(words: DataFrame, word: str, near: DataFrame) -> DataFrame:
+        """(field, word, to, d): each word with itself and the neighbours it may be an error for."""
+        other = words.select("field", F.col(word).alias("near"), F.col("w").alias("ow"), F.col("forms").alias("of"))
+        # "Fiveburger" is of Fiveburg: one step, however often it is written so
+        of_place = F.col("word") == F.concat("near", F.lit("er"))
+        n = near.select(F.col("word").alias(word), "near", F.when(of_place, 1).otherwise(F.col("edits")).alias("edits"), of_place.alias("of_place"))
+        commoner = (F.col("ow") > F.col("w")) | ((F.col("ow") == F.col("w")) & (F.col("near") < F.col(word)))
+        up = words.join(n, word).join(other, ["field", "near"]).where(F.col("of_place") | (F.col("near") != F.concat(word, F.lit("er"))) & commoner & ((F.col("forms") <= 1) | (F.col("of") >= VARIED * F.col("forms"))))
         return words.select("field", word, F.col(word).alias("to"), F.lit(0).alias("d")).unionByName(up.select("field", word, F.col("near").alias("to"), F.col("edits").alias("d")))
 
-    to_s = cut(toward(surs, "sur", "sw", near_s).select("field", "sur", F.col("to").alias("ts"), F.col("d").alias("ds")))
-    body = f.where("giv like '#%'").groupBy("field", "giv").agg(F.sum("w").alias("gw"))
-    to_g = cut(toward(givs.unionByName(body), "giv", "gw", near_g).select("field", "giv", F.col("to").alias("tg"), F.col("d").alias("dg")))
+    to_s = cut(toward(surs, "sur", near_s).select("field", "sur", F.col("to").alias("ts"), F.col("d").alias("ds")))
+    body = varied(f.where("giv like '#%'"), "giv")
+    to_g = cut(toward(givs.unionByName(body), "giv", near_g).select("field", "giv", F.col("to").alias("tg"), F.col("d").alias("dg")))
 
-    e = cut(f.where("full").groupBy("field", "sur", "giv").agg(F.sum("w").alias("w")))
-    target = e.select("field", F.col("sur").alias("ts"), F.col("giv").alias("tg"), F.col("w").alias("tw"))
+    e = cut(varied(f.where("full"), "sur", "giv"))
+    target = e.select("field", F.col("sur").alias("ts"), F.col("giv").alias("tg"), F.col("w").alias("tw"), F.col("forms").alias("tf"))
     d = F.col("ds") + F.col("dg")
-    heavier = F.col("tw") * 10 >= F.col("w") * 15
+    commoner = (F.col("tw") > F.col("w")) | ((F.col("tw") == F.col("w")) & (F.struct("ts", "tg") < F.struct("sur", "giv")))
+    single = (F.col("forms") <= 1) & ((d == 1) | (F.col("ds") == 0) | ((d == 2) & (F.col("tw") >= 2 * F.col("w"))) | ((F.col("tw") >= 3 * F.col("w")) & (F.col("tf") >= 3)))
+    single = single | (F.col("sur") == F.concat("ts", F.lit("er")))
+    dwarfed = (F.col("tw") > 2 * F.col("w")) & (F.col("tf") >= VARIED * F.col("forms") / 2)
     best = W.partitionBy("field", "sur", "giv").orderBy(d, F.desc("tw"), "ts", "tg")
     point = cut(
         e.join(to_s, ["field", "sur"]).join(to_g, ["field", "giv"]).join(target, ["field", "ts", "tg"])
-        .where((d > 0) & (d <= 3) & (heavier | ((d == 1) & ((F.col("tw") > F.col("w")) | ((F.col("tw") == F.col("w")) & (F.struct("ts", "tg") < F.struct("sur", "giv")))))))
+        .where((d > 0) & (d <= 3) & (commoner | (F.col("sur") == F.concat("ts", F.lit("er")))) & (single | dwarfed))
         .withColumn("k", F.row_number().over(best)).where("k = 1")
         .select("field", "sur", "giv", "ts", "tg")
     )
