@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from quaverlake.llm import components as M
 
 
@@ -43,15 +41,12 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("shape", SHAPES)
-def test_shapes(spark, shape):
-    assert run(spark, SHAPES[shape]) == brute(SHAPES[shape])
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random(spark, seed):
-    r = random.Random(seed)
-    pairs = [(name(r.randrange(400)), name(r.randrange(400))) for _ in range(180 + 90 * seed)] + [(name(i + 500), name(i + 501)) for i in range(0, 90) if i % 30]
+def test_all_shapes_at_once(spark):
+    tag = lambda s, x: None if x is None else f"{s}/{x}"
+    pairs = [(tag(s, a), tag(s, b)) for s, ps in SHAPES.items() for a, b in ps]
+    for seed in (1, 2):
+        r = random.Random(seed)
+        pairs += [(f"{seed}/{r.randrange(400):05d}", f"{seed}/{r.randrange(400):05d}") for _ in range(180 + 90 * seed)]
     assert run(spark, pairs) == brute(pairs)
 
 
