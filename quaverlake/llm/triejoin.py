@@ -77,8 +77,12 @@ class Trie:
                 row.append(x)
             if "" in node and row[-1] <= most:
                 out.append((node[""], row[-1]))
-            if min(row) <= most or min(prev) < most:
+            if min(row) <= most:
                 stack += [(nch, sub, ch, row, prev) for nch, sub in node.items() if nch]
+            elif min(prev) < most:
+                # only an exchange of this letter with the next can still be near
+                swaps = {word[j - 1] for j in range(1, width - 1) if word[j] == ch and prev[j - 1] < most}
+                stack += [(nch, node[nch], ch, row, prev) for nch in swaps if nch in node]
         return out
 
 
