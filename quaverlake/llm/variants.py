@@ -76,9 +76,9 @@ def ensemble(text: str) -> tuple[str, str] | None:
     return (sound(best[1].rstrip(".")), best[2]) if best[2] else None
 
 
-_PARSED = "field string, name string, w long, form string, sur string, giv string, full boolean, sur2 string, giv2 string"
-#: A word or name this many times as varied as another may be what the other was meant to be.
-VARIED = 12
+_PARSED = "field string, name string, w long, sur string, giv string, full boolean, sur2 string, giv2 string"
+#: A name this many times as common as another may be what the other was meant to be; more edits ask for more.
+RARER = 2
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,10 +87,9 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for field, name, w in pdf[["field", "name", "w"]].itertuples(index=False, name=None):
             if placeholder(name):
                 continue
-            form = " ".join(re.findall(r"[^\W\d_]+|[.,]", re.sub(r"\([^)]*\d[^)]*\)", " ", flat(name))))
             body = ensemble(name) if field != "composer" else None
             if body:
-                out.append((field, name, w, form, body[0], "#" + body[1], True, None, None))
+                out.append((field, name, w, body[0], "#" + body[1], True, None, None))
                 continue
             sur, giv = person(name)
             if not sur:
@@ -98,7 +97,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = turned(sur, giv) if "," not in name else None
             first = giv[0] if giv else ""
             full = len(first.rstrip(".")) > 1 and not first.endswith(".") and not full_names(first)
-            out.append((field, name, w, form, sur, first, full, t[0] if t else None, t[1][-1] if t else None))
+            out.append((field, name, w, sur, first, full, t[0] if t else None, t[1][-1] if t else None))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARSED.split(", ")])
 
 
@@ -124,45 +123,49 @@ def name_entities(names: DataFrame) -> DataFrame:
     )
     f = cut(
         both.select(
-            "field", "name", "w", "form",
+            "field", "name", "w",
             F.when(F.col("turn"), F.col("sur2")).otherwise(F.col("sur")).alias("sur"),
             F.when(F.col("turn"), F.col("giv2")).otherwise(F.col("giv")).alias("giv"),
             F.when(F.col("turn"), F.lit(True)).otherwise(F.col("full")).alias("full"),
         )
     )
-    # a real word occurs in several forms (turned round, with initials, in short), a typing error in
-    # hardly more than one: the number of forms tells them apart where mere frequency cannot
-    varied = lambda d, *k: d.groupBy("field", *k, "form").agg(F.sum("w").alias("w")).groupBy("field", *k).agg(F.sum("w").alias("w"), F.count("*").alias("forms"))
-    surs = cut(varied(f, "sur"))
-    near_s = cut(near_words(surs, "sur"))
-    givs = cut(varied(f.where("full and giv not like '#%'"), "giv"))
-    near_g = cut(near_words(givs, "giv"))
-
-    def toward(words: DataFrame, word: str, near: DataFrame) -> DataFrame:
-        """(field, word, to, d): each word with itself and the neighbours it may be an error for."""
-        other = words.select("field", F.col(word).alias("near"), F.col("w").alias("ow"), F.col("forms").alias("of"))
-        # "Fiveburger" is of Fiveburg: one step, however often it is written so
-        of_place = F.col("word") == F.concat("near", F.lit("er"))
-        n = near.select(F.col("word").alias(word), "near", F.when(of_place, 1).otherwise(F.col("edits")).alias("edits"), of_place.alias("of_place"))
-        commoner = (F.col("ow") > F.col("w")) | ((F.col("ow") == F.col("w")) & (F.col("near") < F.col(word)))
-        up = words.join(n, word).join(other, ["field", "near"]).where(F.col("of_place") | (F.col("near") != F.concat(word, F.lit("er"))) & commoner & ((F.col("forms") <= 1) | (F.col("of") >= VARIED * F.col("forms"))))
-        return words.select("field", word, F.col(word).alias("to"), F.lit(0).alias("d")).unionByName(up.select("field", word, F.col("near").alias("to"), F.col("edits").alias("d")))
-
-    to_s = cut(toward(surs, "sur", near_s).select("field", "sur", F.col("to").alias("ts"), F.col("d").alias("ds")))
-    body = varied(f.where("giv like '#%'"), "giv")
-    to_g = cut(toward(givs.unionByName(body), "giv", near_g).select("field", "giv", F.col("to").alias("tg"), F.col("d").alias("dg")))
-
-    e = cut(varied(f.where("full"), "sur", "giv"))
-    target = e.select("field", F.col("sur").alias("ts"), F.col("giv").alias("tg"), F.col("w").alias("tw"), F.col("forms").alias("tf"))
+    f_full = f.where("full")
+    near_s = cut(near_words(f.select("sur"), "sur"))
+    near_g = cut(near_words(f_full.where("giv not like '#%'").select("giv"), "giv"))
+    e = f_full.groupBy("field", "sur", "giv").agg(F.sum("w").alias("w"))
+    # "Fiveburger" is of Fiveburg and "Haskadstroem" is Haskadström however often written so, and counts for it
+    bare = lambda c: F.when(F.col(c).startswith("#"), F.col(c)).otherwise(F.regexp_replace(c, "([ao])e", "$1"))
+    as_read = [F.struct(s.alias("sur"), g.alias("giv")) for s, g in ((F.regexp_replace("sur", "er$", ""), F.col("giv")), (bare("sur"), F.col("giv")), (F.col("sur"), bare("giv")), (bare("sur"), bare("giv")))]
+    kin = e.select("field", "w", F.struct("sur", "giv").alias("own"), F.explode(F.array_distinct(F.array(*as_read))).alias("read")).where("own <> read")
+    kin = kin.groupBy("field", "read.sur", "read.giv").agg(F.sum("w").alias("kw"))
+    e = cut(e.join(kin, ["field", "sur", "giv"], "left").select("field", "sur", "giv", (F.col("w") + F.coalesce("kw", F.lit(0))).alias("w")))
+
+    def toward(word: str, near: DataFrame, to: str, d: str) -> DataFrame:
+        """(field, word, to, d, top): the words of entities that each word may be an error for, itself too.
+
+        A word and its ö, ø, ä or æ written out are the same (d is 0).
+
+        ``top`` is the weight of the commonest entity with the other word: none rarer can be meant.
+        """
+        words = e.groupBy("field", F.col(word).alias(to)).agg(F.max("w").alias(f"{to}_top"))
+        n = near.where(F.col("near") != F.concat("word", F.lit("er"))).select(F.col("word").alias(word), F.col("near").alias(to), F.when(F.col("word") == F.concat("near", F.lit("er")), 1).otherwise(F.col("edits")).alias(d))
+        every = f.select(word).distinct()
+        same = every.select(word, F.explode(F.array_distinct(F.array(F.col(word), bare(word)))).alias(to), F.lit(0).alias(d))
+        least = n.unionByName(same).groupBy(word, to).agg(F.min(d).alias(d))
+        return cut(words.join(least, to))
+
+    to_s = toward("sur", near_s, "ts", "ds")
+    to_g = toward("giv", near_g, "tg", "dg")
+    target = e.select("field", F.col("sur").alias("ts"), F.col("giv").alias("tg"), F.col("w").alias("tw"))
     d = F.col("ds") + F.col("dg")
+    placed = F.col("sur") == F.concat("ts", F.lit("er"))
     commoner = (F.col("tw") > F.col("w")) | ((F.col("tw") == F.col("w")) & (F.struct("ts", "tg") < F.struct("sur", "giv")))
-    single = (F.col("forms") <= 1) & ((d == 1) | (F.col("ds") == 0) | ((d == 2) & (F.col("tw") >= 2 * F.col("w"))) | ((F.col("tw") >= 3 * F.col("w")) & (F.col("tf") >= 3)))
-    single = single | (F.col("sur") == F.concat("ts", F.lit("er")))
-    dwarfed = (F.col("tw") > 2 * F.col("w")) & (F.col("tf") >= VARIED * F.col("forms") / 2)
+    # relative, so that a link made on a small table holds on a larger one; 1 is for what is seen once
+    rare = F.col("tw") + 1 >= F.col("w") * F.when(F.col("ds") == 0, RARER).otherwise(RARER - 1 + d)
     best = W.partitionBy("field", "sur", "giv").orderBy(d, F.desc("tw"), "ts", "tg")
     point = cut(
-        e.join(to_s, ["field", "sur"]).join(to_g, ["field", "giv"]).join(target, ["field", "ts", "tg"])
-        .where((d > 0) & (d <= 3) & (commoner | (F.col("sur") == F.concat("ts", F.lit("er")))) & (single | dwarfed))
+        e.join(to_s, ["field", "sur"]).where("ts_top >= w").join(to_g, ["field", "giv"]).where("tg_top >= w").join(target, ["field", "ts", "tg"])
+        .where(((F.col("sur") != F.col("ts")) | (F.col("giv") != F.col("tg"))) & (d <= 3) & commoner & (placed | (d == 0) | rare))
         .withColumn("k", F.row_number().over(best)).where("k = 1")
         .select("field", "sur", "giv", "ts", "tg")
     )
@@ -175,9 +178,12 @@ def name_entities(names: DataFrame) -> DataFrame:
     whole = f.where("full").join(root.select("field", "sur", "giv", F.col("rs").alias("e_sur"), F.col("rg").alias("e_giv")), ["field", "sur", "giv"]).select("field", "name", "e_sur", "e_giv")
 
     # initials, short forms, surnames alone: distinct (surname, given part) against the entities there
-    part = cut(f.where("not full").select("field", "sur", "giv").distinct())
+    part = cut(f.where("not full").groupBy("field", "sur", "giv").agg(F.sum("w").alias("pw")))
     known = root.groupBy("field", F.col("sur").alias("ts"), "rs", "rg").agg(F.sum("w").alias("ew"))
-    met = part.join(to_s, ["field", "sur"]).join(known, ["field", "ts"])
+    # a surname most of whose people stand for themselves is no error for another
+    own = root.groupBy("field", "sur").agg((2 * F.sum(F.when(F.col("rs") == F.col("sur"), F.col("w")).otherwise(0)) > F.sum("w")).alias("own"))
+    met = part.join(to_s.drop("ts_top"), ["field", "sur"]).join(own, ["field", "sur"], "left").join(known, ["field", "ts"])
+    met = met.where((F.col("ds") == 0) | ~F.coalesce("own", F.lit(False)) & (F.col("ew") + 1 >= RARER * F.col("pw"))).drop("own", "pw")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -143,3 +143,16 @@ def test_canonical(spark):
     }
     assert canonical_tracks(t.limit(0), composers, works).count() == 0
     assert {r.ref_id for r in canonical_tracks(t, composers.limit(0), works.limit(0)).collect()} == {"unmatched"}
+
+
+def test_variants_hold_as_the_table_grows(spark):
+    edda = ["Edda Haskadström", "Haskadstrom, Edda", "Edda Haskadstroem", "Haskadstroem, Edda", "Haskadstroem Edda"]
+    jo = ["Josephine Haskadström", "Josephine Haskadstroem", "Haskadstroem, Josephine"]
+    typed = ["Pavel Farriliere", "Psvel Farriliere", "Farriliere, Psvel"]
+    near = ["Viola Quilavuld", "Viola Quilemuld"]
+    weight = {typed[0]: 40, near[0]: 9, near[1]: 13}
+    want = {(a, b) for g in (edda, jo, typed) for a in g for b in g if a < b}
+    for times in (1, 100):
+        names = [("composer", n, times * weight.get(n, 5)) for n in edda + jo + typed + near]
+        df = spark.createDataFrame(names, "field string, name string, w bigint")
+        assert {(r.name_a, r.name_b) for r in variant_pairs(df).collect()} == want
