@@ -18,6 +18,15 @@ PLAIN_TO = "aouaaaaeeeeiiiioooouuuyynccszrdtneuloacszndhgsi"
 DOUBLE = {"ß": "ss", "æ": "ae", "œ": "oe"}
 
 
+# What counts as a blank in all scripts.
+BLANK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def trim_blanks(c: Column) -> Column:
+    """Without blanks of any script at either end."""
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", "")
+
+
 def nocase(c: Column) -> Column:
     """ASCII letters in lower case, all else as it is: the order and equality of NOCASE."""
     return F.translate(c, UPPER, LOWER)
@@ -75,13 +84,14 @@ def match_terms(query: str, dialect: str = "ascii") -> list[str]:
 
 def clean_title(c: Column) -> Column:
     """Without "File:" and what follows the last dot; underscores are blanks."""
-    return F.trim(F.translate(F.regexp_replace(F.regexp_replace(c, "^File:", ""), r"\.[^./]*$", ""), "_", " "))
+    return trim_blanks(F.translate(F.regexp_replace(F.regexp_replace(c, "^File:", ""), r"\.[^./]*\z", ""), "_", " "))
 
 
 def title_key(c: Column) -> Column:
-    """The cleaned title without a last format word, in lower case, blanks collapsed."""
-    bare = F.regexp_replace(clean_title(c), r"(?i)[ _-]+(ogg|oga|opus|wav|wave|mp3|flac)$", "")
-    return F.trim(F.regexp_replace(F.lower(bare), r"\s+", " "))
+    """The cleaned title without a last format word, in lower case letter by letter, blanks collapsed."""
+    bare = F.regexp_replace(clean_title(c), r"(?iu)[ _-]+(ogg|oga|opus|wav|wave|mp3|flac)\z", "")
+    # lower() has another letter for a last sigma, and two for a dotted I
+    return F.trim(F.regexp_replace(F.lower(F.translate(bare, "Σİ", "σi")), f"{BLANK}+", " "))
 
 
 def plain_title_key(c: Column) -> Column:

@@ -249,6 +249,13 @@ def x6_x7_titles(spark, sf):
     return t.select("title", X.clean_title(F.col("title")).alias("clean"), X.title_key(F.col("title")).alias("key"))
 
 
+@query()
+def x6_x7_all_titles(spark, sf):
+    """x6_x7_titles over every title: no SQL, whose blanks and case folding are not Java's."""
+    t = table(spark, sf, "tracks").where("title is not null").select("title").distinct()
+    return t.select("title", X.clean_title(F.col("title")).alias("clean"), X.title_key(F.col("title")).alias("key"))
+
+
 @query("select title, composer_canonical, trim(regexp_replace(strip_accents(lower(composer_canonical)), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) as composer_key, sha1(trim(regexp_replace(strip_accents(lower(composer_canonical)), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) || '|' || trim(regexp_replace(strip_accents(lower(title)), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) || '|' || trim(regexp_replace(strip_accents(lower(catalog)), '[^\\p{L}\\p{Nd}]+', ' ', 'g'))) as work_id from works")
 def x9_x10_work_ids(spark, sf):
     c = F.col
