@@ -186,11 +186,12 @@ def url_host(c: Column) -> Column:
 
 
 def human_bytes(c: Column) -> Column:
-    """1536 is 1.5KB; below 1024 plain bytes."""
+    """1536 is 1.5KB; below 1024, and negative, plain bytes; terabytes have no end; NULL stays NULL."""
     out = F.format_string("%dB", c)
     for k, unit in enumerate("KMGT", 1):
-        out = F.when(c >= 1024**k, F.format_string(f"%.1f{unit}B", c / float(1024**k))).otherwise(out)
-    return out
+        # format_string rounds a half up, the reference to even
+        out = F.when(c >= 1024**k, F.format_string(f"%.1f{unit}B", F.bround(c / float(1024**k), 1))).otherwise(out)
+    return F.when(c.isNotNull(), out)
 
 
 def clock(seconds: Column) -> Column:

@@ -298,6 +298,13 @@ def x25_x26_sizes(spark, sf):
     return t.select("id", X.human_bytes(F.col("original_bytes")).alias("size"), X.clock(F.col("duration_sec")).alias("clock"))
 
 
+@query()
+def x25_x26_all_sizes(spark, sf):
+    """x25_x26_sizes for every track: no SQL; a missing size is NULL, a missing duration --:--."""
+    t = tracks(spark, sf, "original_bytes", "duration_sec")
+    return t.select("id", X.human_bytes(F.col("original_bytes")).alias("size"), X.clock(F.col("duration_sec")).alias("clock"))
+
+
 @query("select regexp_extract(original_url, '^[a-z]+://([^/]*)', 1) as host, count(*) as n from tracks group by 1")
 def x28_hosts(spark, sf):
     return table(spark, sf, "tracks").groupBy(X.url_host(F.col("original_url")).alias("host")).agg(F.count("*").alias("n"))

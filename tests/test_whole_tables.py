@@ -22,3 +22,13 @@ def test_all_titles(spark, tmp_path):
     spark.createDataFrame([(t,) for t in TITLES + TITLES[:3] + [None]], "title string").write.parquet(str(tmp_path / "tracks.parquet"))
     got = {r.title: (r.clean, r.key) for r in QUERIES["x6_x7_all_titles"](spark, str(tmp_path)).collect()}
     assert got == {t: (_clean(t), _key(t)) for t in TITLES}
+
+
+def test_all_sizes(spark, tmp_path):
+    rows = [
+        ("a", None, None, None, "--:--"), ("b", 1536, None, "1.5KB", "--:--"), ("c", None, 75.9, None, "01:15"), ("d", -5, 3600.0, "-5B", "01:00:00"), ("e", 0, -1.0, "0B", "--:--"),
+        ("f", 1280, 3599.9, "1.2KB", "59:59"), ("g", 3 * 1024**4, 360000.5, "3.0TB", "100:00:00"), ("h", 2**62, 3600.0 * 999, "4194304.0TB", "999:00:00"), ("i", 10**12, 3600.0 * 999 + 1, "931.3GB", "--:--"), ("j", 1023, 0.0, "1023B", "00:00"), ("k", 5, float("nan"), "5B", "--:--"),
+    ]
+    spark.createDataFrame([(i, 1, b, d) for i, b, d, _, _ in rows], "id string, updated_at bigint, original_bytes bigint, duration_sec double").write.parquet(str(tmp_path / "tracks.parquet"))
+    got = {r.id: (r["size"], r["clock"]) for r in QUERIES["x25_x26_all_sizes"](spark, str(tmp_path)).collect()}
+    assert got == {i: (size, clock) for i, _, _, size, clock in rows}
