@@ -170,11 +170,13 @@ def name_entities(names: DataFrame) -> DataFrame:
         .select("field", "sur", "giv", "ts", "tg")
     )
     root = e.join(point, ["field", "sur", "giv"], "left").select("field", "sur", "giv", "w", F.coalesce("ts", "sur").alias("rs"), F.coalesce("tg", "giv").alias("rg"))
-    for _ in range(3):  # chains of typing errors of errors are short
-        root = cut(root)
-        up = root.select("field", F.col("sur").alias("rs"), F.col("giv").alias("rg"), F.col("rs").alias("us"), F.col("rg").alias("ug"))
-        root = root.join(up, ["field", "rs", "rg"]).select("field", "sur", "giv", "w", F.col("us").alias("rs"), F.col("ug").alias("rg"))
     root = cut(root)
+    moved = True
+    while moved:  # pointers go to ever commoner names, so there is no ring
+        up = root.select("field", F.col("sur").alias("rs"), F.col("giv").alias("rg"), F.col("rs").alias("us"), F.col("rg").alias("ug"))
+        further = cut(root.join(up, ["field", "rs", "rg"]).select("field", "sur", "giv", "w", F.col("us").alias("rs"), F.col("ug").alias("rg"), ((F.col("us") != F.col("rs")) | (F.col("ug") != F.col("rg"))).alias("moved")))
+        moved = not further.where("moved").isEmpty()
+        root = further.drop("moved")
     whole = f.where("full").join(root.select("field", "sur", "giv", F.col("rs").alias("e_sur"), F.col("rg").alias("e_giv")), ["field", "sur", "giv"]).select("field", "name", "e_sur", "e_giv")
 
     # initials, short forms, surnames alone: distinct (surname, given part) against the entities there

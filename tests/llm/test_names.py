@@ -7,7 +7,7 @@ import pytest
 from quaverlake.llm.canon import canonical_tracks, work_parts
 from quaverlake.llm.names import bound, flat, given_fits, osa, person, placeholder
 from quaverlake.llm.triejoin import Trie, near_words
-from quaverlake.llm.variants import ensemble, variant_pairs
+from quaverlake.llm.variants import ensemble, name_entities, variant_pairs
 
 
 @pytest.mark.parametrize(
@@ -156,3 +156,10 @@ def test_variants_hold_as_the_table_grows(spark):
         names = [("composer", n, times * weight.get(n, 5)) for n in edda + jo + typed + near]
         df = spark.createDataFrame(names, "field string, name string, w bigint")
         assert {(r.name_a, r.name_b) for r in variant_pairs(df).collect()} == want
+
+
+def test_long_chains_of_spellings_end_in_one(spark):
+    spelled = ["".join("bcdfghklmnpr"[j] if j < i else "o" for j in range(12)) for i in range(12)]
+    names = [("composer", f"Ann {s}", 3**i) for i, s in enumerate(spelled)]
+    got = name_entities(spark.createDataFrame(names, "field string, name string, w bigint")).collect()
+    assert len(got) == 12 and len({(r.e_sur, r.e_giv) for r in got}) == 1
