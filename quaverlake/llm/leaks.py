@@ -175,7 +175,8 @@ def leaked(docs: DataFrame, key: str, column: str, items: DataFrame, item_key: s
             index = Index(sent.value)
             for pdf in batches:
                 hits = [(k, i) for k, t in zip(pdf["k"], pdf["t"], strict=True) for i in sorted(index.leaks(t))]
-                yield pd.DataFrame({"k": pd.Series([k for k, _ in hits], dtype=pdf["k"].dtype), "i": [i for _, i in hits]})
+                if hits:
+                    yield pd.DataFrame(hits, columns=["k", "i"])
 
         return rows.mapInPandas(run, f"k {kind}, i {ikind}")
 

@@ -203,7 +203,7 @@ def count_lookalikes(texts: DataFrame, column: str) -> dict[str, int]:
             for t in pdf[column]:
                 n.update(t if t.isascii() else (k for _, (k, _v) in _counter().iter_long(t)))
         held = [k for k in n if k in classes()]
-        yield pd.DataFrame({"s": held, "n": [n[k] for k in held]}, columns=["s", "n"])
+        yield pd.DataFrame({"s": pd.Series(held, dtype=object), "n": pd.Series([n[k] for k in held], dtype="int64")})
 
     rows = texts.where(F.col(column).isNotNull()).select(column).mapInPandas(count, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
     return {r.s: r.n for r in rows}
