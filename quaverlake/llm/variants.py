@@ -40,6 +40,16 @@ KINDS = {
 }
 # One-word names of kinds in another language.
 GLUED = {"sinfonieorchester": "symphony orchestra", "streichquartett": "string quartet", "kammerorchester": "chamber players", "blaserensemble": "brass ensemble", "blasorchester": "wind band", "stadtchor": "municipal choir", "opernchor": "opera chorus"}
+# Nouns that head the name of a body, in several languages and short, and what they come to.
+HEADS = {
+    form: noun
+    for noun, forms in {
+        "orchestra": "orch orchester orchestre orquesta orkest orkester", "choir": "chor chorus choeur coro koor", "band": "bands banda", "quartet": "quartett quatuor cuarteto quartetto kwartet",
+        "trio": "terzett", "duo": "duet duett", "quintet": "quintett quintette quinteto quintetto", "sextet": "sextett sexteto", "septet": "septett", "octet": "octett oktett", "ensemble": "ens ensembles", "consort": "consorts",
+        "players": "spieler", "society": "gesellschaft", "singers": "sanger cantores", "sinfonietta": "", "philharmonic": "philharmonie philharmoniker filarmonica", "symphony": "", "camerata": "", "kapelle": "capella cappella", "collegium": "", "corps": "",
+    }.items()
+    for form in [noun, *forms.split()]
+}
 _ACRONYM = {"".join(w[0] for w in k.split()): k for k in KINDS if " " in k}
 
 
@@ -69,11 +79,53 @@ def ensemble(text: str) -> tuple[str, str] | None:
         bare = "".join(t.rstrip(".") for j, t in enumerate(tokens) if j != i)
         if len(town) < 4 or len(bare) < 6:
             continue
-        for kind in [*KINDS, *GLUED]:
-            full = kind.replace(" ", "")
-            if abs(len(full) - len(bare)) <= 3 and (d := osa(bare, full, 3)) <= (3 if len(full) > 9 else 2) and d < best[0]:
-                best = (d, town, GLUED.get(kind, kind))
-    return (sound(best[1].rstrip(".")), best[2]) if best[2] else None
+        d, kind = _near_kind(bare)
+        if d < best[0]:
+            best = (d, town, kind)
+    if best[2]:
+        return sound(best[1].rstrip(".")), best[2]
+    return _headed(text, tokens)
+
+
+_SPELT = {k.replace(" ", ""): GLUED.get(k, k) for k in [*KINDS, *GLUED]}
+
+
+@lru_cache(200_000)
+def _near_kind(bare: str) -> tuple[int, str]:
+    """The edits to the nearest kind's letters, if they are few, and that kind."""
+    best = (4, "")
+    for full, kind in _SPELT.items():
+        most = 3 if len(full) > 9 else 2
+        # each letter that only one of them has is an edit
+        if abs(len(full) - len(bare)) <= 3 and len(set(full) - set(bare)) <= most and len(set(bare) - set(full)) <= most and (d := osa(bare, full, 3)) <= most and d < best[0]:
+            best = (d, kind)
+    return best
+
+
+def _headed(text: str, tokens: list[str]) -> tuple[str, str] | None:
+    """(place, kind) of a body of no listed kind, known by the noun that heads it ("Vienna Jazz Trio").
+
+    The place is what a comma, bracket or "of" sets apart, else the first word; the rest is the kind.
+    """
+    heads = [HEADS.get(t.rstrip(".")) for t in tokens]
+    if not any(heads):
+        return None
+    s = flat(text)
+    apart = re.search(r"\(([^()]*)\)|\bof ([^,()]*)|,\s*([^,()]*)$", s)
+    place = [t.rstrip(".") for t in re.findall(r"[^\W\d_]+", next(filter(None, apart.groups()), "")) if t != "the"] if apart else []
+    if not place or any(t in HEADS for t in place) or len(place) >= len(tokens):
+        place = [tokens[0].rstrip(".")]
+    left = list(place)
+    kind = []
+    for t, head in zip(tokens, heads, strict=True):
+        bare = t.rstrip(".")
+        if bare in left:
+            left.remove(bare)
+        else:
+            kind.append(head or bare)
+    if not kind or any(t in HEADS for t in place):
+        return None
+    return sound("".join(place)), " ".join(kind)
 
 
 _PARSED = "field string, name string, w long, sur string, giv string, full boolean, sur2 string, giv2 string"

@@ -30,7 +30,7 @@ def test_osa():
 
 @pytest.mark.parametrize(
     ("text", "body"),
-    [("The Fiveburg Wind Band", ("fiveburg", "wind band")), ("Windband of Fiveburg", ("fiveburg", "wind band")), ("Fiveburg HPB", ("fiveburg", "harbour police band")), ("Op. Chorus (Fiveburg)", ("fiveburg", "opera chorus")), ("Fiveburg Munic. Chorus", ("fiveburg", "municipal choir")), ("Fiveburg Reed&Bow Cons.", ("fiveburg", "reed bow consort")), ("Fiveburg Symphnoy Orchesrta", ("fiveburg", "symphony orchestra")), ("Ann Bell", None)],
+    [("The Fiveburg Wind Band", ("fiveburg", "wind band")), ("Windband of Fiveburg", ("fiveburg", "wind band")), ("Fiveburg HPB", ("fiveburg", "harbour police band")), ("Op. Chorus (Fiveburg)", ("fiveburg", "opera chorus")), ("Fiveburg Munic. Chorus", ("fiveburg", "municipal choir")), ("Fiveburg Reed&Bow Cons.", ("fiveburg", "reed bow consort")), ("Fiveburg Symphnoy Orchesrta", ("fiveburg", "symphony orchestra")), ("Ann Bell", None), ("Vienna Jazz Trio", ("vienna", "jazz trio")), ("Jazz Trio, Vienna", ("vienna", "jazz trio")), ("Radiochor", None), ("Berlin Radio Chor", ("berlin", "radio choir")), ("The Radio Choir of Berlin", ("berlin", "radio choir"))],
 )
 def test_ensemble(text, body):
     assert ensemble(text) == body
@@ -39,7 +39,7 @@ def test_ensemble(text, body):
 def test_trie_join_equals_brute_force(spark, monkeypatch):
     r = random.Random(5)
     seeds = ["".join(r.choices("abcde", k=r.randrange(4, 12))) for _ in range(60)]
-    words = set(seeds) | {"ab", ""}
+    words = set(seeds) | {"ab", "", "tamsin", "tmasan", "abcdefgh", "acbdegfh"}
     for s in seeds:
         for _ in range(3):
             t = list(s)
@@ -52,24 +52,28 @@ def test_trie_join_equals_brute_force(spark, monkeypatch):
     must = {(a, b) for a in words for b in words if a != b and min(len(a), len(b)) > 3 and lev(a, b) <= min(bound(a), bound(b))}
     may = {(a, b) for a in words for b in words if a != b and min(len(a), len(b)) > 3 and osa(a, b, 2) <= min(bound(a), bound(b))}
     got = {(x.word, x.near) for x in near_words(df, "w").collect()}
-    assert must <= got <= may
+    assert must <= got == may
     import quaverlake.llm.triejoin as M
 
     monkeypatch.setattr(M, "QUESTIONS", 3)
-    assert M.Trie.FEW < len({w for w in words if len(w) > 3})
+    monkeypatch.setattr(M, "HELD", 2)
     assert {(x.word, x.near) for x in near_words(df, "w").collect()} == got
     assert near_words(df.limit(0), "w").count() == 0
 
 
 def test_automaton_equals_comparison():
-    r = random.Random(8)
-    words = sorted({"".join(r.choices("abc", k=r.randrange(3, 8))) for _ in range(80)})
-    t = Trie()
-    for w in words:
-        t.add(w)
-    for q in words[::3] + ["abcabc", "", "a"]:
-        for most in (0, 1, 2):
-            assert sorted(t.near(q, most)) == sorted((w, osa(q, w, most)) for w in words if osa(q, w, most) <= most)
+    r = random.Random(3)
+    words = sorted({"".join(r.choices("abc", k=r.randrange(4, 10))) for _ in range(400)})
+    for n in range(4, 10):
+        t = Trie()
+        held = [w for w in words if len(w) == n]
+        for w in held:
+            t.add(w)
+        for w in words:
+            if n <= len(w) <= n + bound("x" * n):
+                most = bound("x" * n)
+                got = dict(t.near(w))
+                assert got == {x: d for x in held if (len(x) < len(w) or x < w) and (d := osa(w, x, most)) <= most}
 
 
 def _levenshtein(a, b):
