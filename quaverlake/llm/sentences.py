@@ -1,7 +1,7 @@
 """Sentence boundaries across languages and scripts.
 
-The terminators of all scripts by their sentence-break property, then what suppresses a break:
-abbreviations of the scripts' languages, decimals and names with dots, initials, ordinals, a
+The terminators of all scripts are the characters whose sentence-break property says so (STerm and
+ATerm of the character database). Then comes what suppresses a break: abbreviations of the scripts' languages, decimals and names with dots, initials, ordinals, a
 following small letter, and quotations and brackets that are part of a sentence. Thai, which has no
 terminators, breaks at blanks that do not belong to a number. Positions are code points.
 """
@@ -9,9 +9,11 @@ terminators, breaks at blanks that do not belong to a number. Positions are code
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,42 +44,74 @@ ORDINAL_AFTER = frozenset("am vom zum dem den der des im beim".split())
 THAI_GOES_ON = ("ที่", "ของ", "และ", "หรือ", "แต่", "ซึ่ง", "โดย", "กับ", "ใน", "จาก", "ๆ")
 THAI_YEAR = ("ปี", "พ.ศ.", "ค.ศ.")
 
-HARD = "。！？｡．"
-TERMS = "!?…।॥؟۔‽⁇⁈⁉።፧፨᙮᠃᠉།᥄᥅᪨᪩᪪᪫꓿꘎꘏" + HARD
+_EVERY = "".join(chr(o) for o in range(0x20000) if not 0xD800 <= o < 0xE000)
+#: Full-width stops, after which no blank is written.
+HARD = "。！？｡．︒﹖﹗"
+#: All that ends a sentence but the full stop itself: the property, dots of omission, the Tibetan shad.
+TERMS = "".join(c for c in regex.findall(r"\p{SB=ST}", _EVERY) if c not in HARD) + "…།" + HARD
+STOPS = ".․﹒"
+#: Those after which a script may go on without a blank.
+SPACELESS = frozenset(c for c in TERMS if c > "\u0500" and c not in "…‼‽⁇⁈⁉")
 PAIRS = {"«": "»", "“": "”", "„": "“”", "「": "」", "『": "』", "‹": "›", "(": ")", "（": "）", "[": "]", "《": "》", "〈": "〉", "【": "】"}
 CLOSERS = "»”“」』›)）]》〉】\"'’"
 _BLANK = " \t  　      \r\n\f\v"
+_NUMERAL = re.compile(r"\s*[ivxlcdm]+\b", re.I)
 _GAP = re.compile(r"\r?\n[^\S\n]*\n\s*")
-_EVENT = re.compile(rf"[.{re.escape(TERMS)};;]+|[{re.escape(''.join(PAIRS))}\"]|[฀-๿0-9][  ]+(?=[฀-๿])")
-_TAIL = re.compile(r"([^\s\d_()\[\]«»“”„\"'‘’,;:!?/…。、！？「」『』—–\-\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+)$")
+_EVENT = re.compile(rf"[{re.escape(STOPS + TERMS)};;]+|[{re.escape(''.join(PAIRS))}\"]|[฀-๿0-9][  ]+(?=[฀-๿])")
+_WORD = re.compile(r"[^\s\d_()\[\]«»“”„\"'‘’,;:!?/…。、！？「」『』—–\-\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_MARKS = re.compile(f"[{re.escape(''.join(PAIRS) + ''.join(PAIRS.values()))}]")
+_OPENERS = {c: [a for a, cs in PAIRS.items() if c in cs and a != "„"] for cs in PAIRS.values() for c in cs}
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
 def _quotes(p: str) -> dict[int, int]:
-    """Where each opening quote or bracket of the paragraph closes."""
+    """Where each opening quote or bracket of the paragraph closes, in one pass with a stack for each kind.
+
+    A low quote may close with the mark that opens quotes elsewhere; marks within it are not read.
+    """
     out: dict[int, int] = {}
     straight = [i for i, ch in enumerate(p) if ch == '"']
     for a, b in zip(straight[::2], straight[1::2], strict=False):
         out[a] = b
+    low, closed = [], {}
+    for m in _MARKS.finditer(p) if "„" in p else ():
+        if m[0] == "„":
+            low.append(m.start())
+        elif m[0] in PAIRS["„"] and low:
+            closed[low.pop()] = m.start()
+    open_: dict[str, list[int]] = {ch: [] for ch in PAIRS}
     taken = -1
-    for i, ch in enumerate(p):
-        if ch in PAIRS and i > taken:
-            depth, j = 0, -1
-            for k in range(i, len(p)):
-                if p[k] == ch:
-                    depth += 1
-                elif p[k] in PAIRS[ch]:
-                    depth -= 1
-                    if depth == 0:
-                        j = k
-                        break
-            if j > 0:
-                out[i] = j
-                if ch == "„":
-                    taken = j  # its closing mark opens quotes elsewhere
+    for m in _MARKS.finditer(p):
+        i, ch = m.start(), m[0]
+        if i <= taken:
+            continue
+        if i in closed:
+            out[i] = taken = closed[i]
+            continue
+        for opener in _OPENERS.get(ch, ()):
+            if open_[opener]:
+                out[open_[opener].pop()] = i
+        if ch in open_:
+            open_[ch].append(i)
     return out
 
 
+@cache
+def _in_word(ch: str) -> bool:
+    return _WORD.match(ch) is not None
+
+
+def _back(p: str, i: int, over: Callable[[str], bool]) -> int:
+    """Where the run of such characters that ends before i begins."""
+    while i and over(p[i - 1]):
+        i -= 1
+    return i
+
+
+def _letter(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
+
+
 def _next(p: str, i: int) -> str:
     """The first character from i on that is no blank, opening mark or dash of direct speech."""
     while i < len(p) and (p[i] in _BLANK or p[i] in PAIRS or p[i] in "\"'¿¡‘"):
@@ -99,26 +133,27 @@ def _period(p: str, i: int, end: int) -> bool:
         return False
     if end - i > 1:
         return True
-    before = p[max(0, i - 24) : i]
-    m = _TAIL.search(before)
-    if not m or not m[1].strip("."):
-        if before[-1:].isdigit() and nxt.isupper():
-            num = re.search(r"(\S*)\s+(\d{1,2})$", before)
-            follow = re.match(r"\s*(\w+)", p[end:])
-            if num and follow and (follow[1] in MONTHS or (num[1] in ORDINAL_AFTER and p[end : end + 1] == " " and follow[1][0].isupper())):
+    at = _back(p, i, _in_word)
+    if not p[at:i].strip("."):
+        if p[i - 1 : i].isdigit() and nxt.isupper():
+            digits = _back(p, i, str.isdigit)
+            gap = _back(p, digits, str.isspace)
+            last = p[_back(p, gap, lambda c: not c.isspace()) : gap]
+            follow = re.compile(r"\s*(\w+)").match(p, end)
+            if i - digits <= 2 and gap < digits and follow and (follow[1] in MONTHS or (last in ORDINAL_AFTER and p[end : end + 1] == " " and follow[1][0].isupper())):
                 return False
         return True
-    word = m[1].lstrip(".")
+    word = p[at:i].lstrip(".")
     low = word.lower()
     if low in EITHER:
         return not (low in MEASURES and nxt.isdigit())
     if low in NEVER or low in OPENING:
         return False
     if low in BEFORE_NUMBER:
-        return not (nxt.isdigit() or re.match(r"\s*[ivxlcdm]+\b", p[end:], re.I))
+        return not (nxt.isdigit() or _NUMERAL.match(p, end))
     if len(word) == 1 and not _WIDE.match(word):
-        prior = re.search(r"(\w+)\W*$", before[: m.start()])
-        last = prior[1].lower() if prior else ""
+        stop = _back(p, at, lambda c: not _letter(c))
+        last = p[_back(p, stop, _letter) : stop].lower()
         if low == "д" and last == "т":
             return True
         if word.isupper() and last in LETTERED:
@@ -134,8 +169,8 @@ def _thai(p: str, i: int, end: int) -> bool:
     if p.startswith(THAI_GOES_ON, end):
         return False
     if p[i].isdigit():
-        m = re.search(r"([^\s\d]*)\s*(\d+)$", p[max(0, i - 24) : i + 1])
-        return bool(m) and len(m[2]) == 4 and m[1].endswith(THAI_YEAR)
+        digits = _back(p, i + 1, str.isdigit)
+        return i + 1 - digits == 4 and p.endswith(THAI_YEAR, 0, _back(p, digits, str.isspace))
     return True
 
 
@@ -188,10 +223,10 @@ def boundaries(p: str) -> list[int]:
                 continue
             out.append(end)
         elif p[end] not in _BLANK:
-            if not (run in ("।", "؟", "۔") and p[end].isalpha()) and not (run[0] in ".!?" and _WIDE.match(p[i - 1] if i else " ") and _starts(p[end])):
+            if not (run[0] in SPACELESS and p[end].isalpha()) and not (run[0] in ".!?" and _WIDE.match(p[i - 1] if i else " ") and _starts(p[end])):
                 continue
             out.append(end)
-        elif run[0] == "." and run.strip(".") == "":
+        elif run[0] in STOPS and run.strip(STOPS) == "":
             if _period(p, i, m.end()):
                 out.append(end)
         elif _starts(_next(p, end)):

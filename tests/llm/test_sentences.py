@@ -63,3 +63,27 @@ def test_operator(spark):
     got = sorted(map(tuple, split_sentences(df, "doc_id", "text").collect()))
     assert got == [(1, 0, 6), (1, 7, 13), (4, 0, 100001), (4, 100002, 100006)]
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [
+        ("ខ្ញុំទៅផ្សារ។ គាត់នៅផ្ទះ។", ["ខ្ញុំទៅផ្សារ។", "គាត់នៅផ្ទះ។"]),
+        ("မင်္ဂလာပါ။ နေကောင်းလား။", ["မင်္ဂလာပါ။", "နေကောင်းလား။"]),
+        ("Բարեւ։ Ինչպես ես։", ["Բարեւ։", "Ինչպես ես։"]),
+        ("ꦱꦸꦒꦼꦁ꧉ꦲꦺꦴꦫ꧉", ["ꦱꦸꦒꦼꦁ꧉", "ꦲꦺꦴꦫ꧉"]),
+        ("A" * 100 + "nr. 5 here. B", ["A" * 100 + "nr.", "5 here.", "B"]),
+    ],
+)
+def test_terminators_of_all_scripts(text, parts):
+    assert [text[a:b] for a, b in sentences(text)] == parts
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for text in ("(" * 100_000 + " a. B", "x. " * 50_000, "„x “" * 50_000):
+        sentences(text)
+    assert time.time() - began < 20
+    assert [b - a for a, b in sentences("(" * 100_000 + " a. B")] == [100_005]
