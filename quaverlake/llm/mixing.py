@@ -3,9 +3,9 @@
 A classifier learnt from the labelled rows gives each unlabelled document a posterior over the
 domains; a labelled one belongs to its own. Document rates between 0 and the domain's cap are then
 fitted by projected gradient steps, so that the expected tokens of every domain come as near, in
-least squares, to its share of the budget as the caps allow. The state of the fit is one row of
-gradients per step: each document's rate is recomputed from them where its row lies, and the driver
-sees one sum per domain and step.
+least squares, to its share of the budget as the caps allow. Documents of one known domain and cap
+have one rate, so they enter the fit as one row of summed tokens; the others keep their own rates in
+a table that is written again every few steps. The driver sees one sum per domain and step.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaverlake.session import cut
+from quaverlake.session import cut, release
 
 #: The vocabulary file of a public byte-level tokenizer; a parameter, the file stays where it is.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how that vocabulary's tokenizer cuts a text into words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FEATURES = 1 << 14
-STEPS, STEP, ENOUGH = 40, 0.9, 1e-5
+#: Length of a step, and the part of all tokens that no domain may move by in the last one.
+STEP, ENOUGH = 0.9, 1e-5
+#: Steps after which the rates of uncertain documents are written down.
+EVERY = 8
 
 
 def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -60,36 +63,46 @@ def posteriors(labelled: DataFrame, others: DataFrame, text: str, label: str) ->
     return out.select(*[F.col(c) for c in others.columns], vector_to_array("__p").alias("p"))
 
 
-def rates(p: Column, cap: Column, gradients: list[list[float]], start: float = 1.0) -> Column:
-    """A document's rate after the projected steps along the gradients."""
+def rates(p: Column, cap: Column, gradients: list[list[float]], start: Column) -> Column:
+    """A document's rate after the projected steps along the gradients, from ``start``."""
     clip = lambda r: F.greatest(F.lit(0.0), F.least(r, cap))
     if not gradients:
-        return clip(F.lit(start))
+        return clip(start)
     dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in gradients])
-    return F.aggregate(steps, clip(F.lit(start)), lambda r, g: clip(r - dot(g)))
+    return F.aggregate(steps, clip(start), lambda r, g: clip(r - dot(g)))
 
 
-def fit_rates(docs: DataFrame, target: list[float]) -> list[list[float]]:
-    """The gradients of the fit over ``(tokens, p, cap)``: expected domain tokens toward ``target``.
+def fit_rates(sure: dict[tuple[int, int], int], soft: DataFrame, target: list[float]) -> tuple[dict[tuple[int, int], float], DataFrame]:
+    """The rates that bring the domains' expected tokens nearest to ``target``.
 
-    Steps are scaled by each domain's tokens, so that one step settles a domain of certain members;
-    they end when no domain moves by more than ENOUGH of the whole.
+    ``sure`` is {(domain, cap): tokens}; its rates come back under the same keys. ``soft`` is
+    ``(k, tokens, p, cap)`` and comes back with ``rate``. Steps are scaled by each domain's tokens, so
+    that one step settles a domain of certain members and none makes the fit worse; they go on until
+    no domain moves by more than ENOUGH of the whole.
     """
-    k = len(target)
-    mass = [F.sum(F.col("tokens") * F.col("p")[i]).alias(f"m{i}") for i in range(k)]
-    held = [x or 0.0 for x in docs.agg(*mass).first()]
+    n = len(target)
+    sums = lambda c: [F.sum(F.col("tokens") * c * F.col("p")[i]) for i in range(n)]
+    add = lambda rows, by: [float(x or 0.0) + sum(t * by(key) for key, t in sure.items() if key[0] == i) for i, x in enumerate(rows)]
+    held = add(soft.agg(*sums(F.lit(1.0))).first(), lambda key: 1.0)
     whole = max(sum(target), 1.0)
-    gradients: list[list[float]] = []
-    last: list[float] | None = None
-    for _ in range(STEPS):
-        r = rates(F.col("p"), F.col("cap").cast("double"), gradients)
-        got = [x or 0.0 for x in docs.select("tokens", "p", r.alias("r")).agg(*[F.sum(F.col("tokens") * F.col("r") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()]
+    fixed = {key: float(min(1, max(key[1], 0))) for key in sure}
+    state, own, gradients, last = soft.withColumn("rate", F.lit(1.0)), None, [], None
+    while True:
+        rate = rates(F.col("p"), F.col("cap").cast("double"), gradients, F.col("rate"))
+        got = add(state.agg(*sums(rate)).first(), fixed.__getitem__)
         if last is not None and max(abs(a - b) for a, b in zip(got, last, strict=True)) <= ENOUGH * whole:
-            break
-        gradients.append([STEP * (got[i] - target[i]) / held[i] if held[i] > 0 else 0.0 for i in range(k)])
+            return fixed, state.withColumn("rate", rate)
+        step = [STEP * (got[i] - target[i]) / held[i] if held[i] > 0 else 0.0 for i in range(n)]
+        fixed = {(i, cap): max(0.0, min(r - step[i], float(cap))) for (i, cap), r in fixed.items()}
+        gradients.append(step)
+        if len(gradients) == EVERY:
+            written = cut(state.withColumn("rate", rates(F.col("p"), F.col("cap").cast("double"), gradients, F.col("rate"))))
+            if own is not None:
+                release(own)
+            state = own = written
+            gradients = []
         last = got
-    return gradients
 
 
 def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -109,7 +122,6 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, v
     cols = [F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).alias("s")]
     d = cut(token_counts(docs.select(*cols), "k", "t", vocabulary).withColumn("y", place[F.col("s")]))
     labelled, others = d.where("y is not null"), d.where("y is null")
-    sure = labelled.select("k", "s", "tokens", F.transform(F.sequence(F.lit(0), F.lit(max(k - 1, 0))), lambda i: (i == F.col("y")).cast("double")).alias("p"), "y")
     seen = [r.y for r in labelled.select("y").distinct().collect()]
     if len(seen) > 1:
         order = sorted(seen)
@@ -122,13 +134,19 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, v
     soft = guess.select("k", "s", "tokens", spread.alias("p"))
     soft = soft.withColumn("y", (F.array_position("p", F.array_max("p")) - 1).cast("int"))
     caps = F.array(*[F.lit(m) for _, _, m in listed]) if k else F.array(F.lit(1))
-    every = cut(sure.unionByName(soft).withColumn("cap", F.when(F.col("tokens") > 0, F.get(caps, F.col("y"))).otherwise(F.lit(1))))
-    whole = every.agg(F.sum("tokens")).first()[0] or 0
-    gradients = fit_rates(every, [t * whole for _, t, _ in listed]) if k else []
-    rate = F.round(rates(F.col("p"), F.col("cap").cast("double"), gradients), 9)
+    cap = F.when(F.col("tokens") > 0, F.get(caps, F.col("y"))).otherwise(F.lit(1)).alias("cap")
+    sure = labelled.select("k", "s", "tokens", "y", cap)
+    soft = cut(soft.select("k", "s", "tokens", "p", "y", cap))
+    # a row for each domain and cap
+    of = {(r.y, r.cap): r.tokens for r in sure.groupBy("y", "cap").agg(F.sum("tokens").alias("tokens")).collect()}
+    whole = sum(of.values()) + (soft.agg(F.sum("tokens")).first()[0] or 0)
+    fixed, soft = fit_rates(of, soft, [t * whole for _, t, _ in listed]) if k else ({}, soft.withColumn("rate", F.lit(1.0)))
+    rate_of = F.create_map(*[F.lit(x) for (y, c), r in sorted(fixed.items()) for x in (f"{y}/{c}", r)]) if fixed else F.lit(None).cast("map<string,double>")
+    sure = sure.withColumn("rate", rate_of[F.concat_ws("/", "y", "cap")])
+    every = sure.unionByName(soft.drop("p")).withColumn("rate", F.round("rate", 9))
     chance = F.pmod(F.xxhash64(F.col("k"), F.lit("mix")), F.lit(1_000_000)) / 1_000_000.0
     names = F.array(*[F.lit(s) for s, _, _ in listed]) if k else F.array(F.lit(None).cast("string"))
-    return every.withColumn("rate", rate).select(
+    return every.select(
         F.col("k").alias(key), F.col("s").alias("source"), F.get(names, F.col("y")).alias("domain"), "tokens", "rate",
         (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"),
     )

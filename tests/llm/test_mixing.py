@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quaverlake.llm.mixing import fit_rates, mix, posteriors, rates, shares
+from quaverlake.llm.mixing import fit_rates, mix, posteriors, shares
 
 WORDS = {"sea": "wave harbour salt boat tide".split(), "hill": "stone sheep path wind cairn".split(), "town": "street tram market bell bridge".split()}
 
@@ -20,8 +20,8 @@ def test_fit_reaches_the_least_squares(spark):
     tokens, cap = r.integers(1, 50, n), r.integers(1, 4, n)
     target = (np.array([0.5, 0.3, 0.2]) * tokens.sum()).tolist()
     df = spark.createDataFrame([(int(t), [float(x) for x in q], int(c)) for t, q, c in zip(tokens, p, cap)], "tokens bigint, p array<double>, cap int")
-    g = fit_rates(df, target)
-    rate = np.array([x.r for x in df.select(rates(F.col("p"), F.col("cap").cast("double"), g).alias("r")).collect()])
+    _, fitted = fit_rates({}, df.withColumn("k", F.monotonically_increasing_id()), target)
+    rate = np.array([x.rate for x in fitted.orderBy("k").collect()])
     a = (p * tokens[:, None]).T
     x = np.ones(n)
     for _ in range(20000):
@@ -30,6 +30,15 @@ def test_fit_reaches_the_least_squares(spark):
     assert np.sum((a @ rate - target) ** 2) <= np.sum((a @ x - target) ** 2) + 1e-4 * tokens.sum() ** 2
 
 
+def test_rows_of_a_known_domain_enter_as_one(spark):
+    rows = [(i, 10, [1.0, 0.0] if i % 2 else [0.0, 1.0], 2) for i in range(20)]
+    target = [150.0, 60.0]
+    _, each = fit_rates({}, spark.createDataFrame(rows, "k bigint, tokens bigint, p array<double>, cap int"), target)
+    of, _ = fit_rates({(0, 2): 100, (1, 2): 100}, spark.createDataFrame([], "k bigint, tokens bigint, p array<double>, cap int"), target)
+    got = {tuple(r.p): r.rate for r in each.collect()}
+    assert abs(got[1.0, 0.0] - of[0, 2]) < 1e-9 and abs(got[0.0, 1.0] - of[1, 2]) < 1e-9 and abs(of[0, 2] - 1.5) < 1e-4
+
+
 def test_posteriors_on_held_out_rows(spark):
     train = [(t, float(i)) for i, s in enumerate(WORDS) for t in texts(s, 40, i)]
     test = [(t, i) for i, s in enumerate(WORDS) for t in texts(s, 30, 100 + i)]
