@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quaverlake.session import cut, cut_counted
+from quaverlake.session import cut, cut_counted, release
 
-#: Rounds of rake and compress after which the rest is handed to the core solver as it is.
-REDUCE_ROUNDS = 40
-#: A round that removes a smaller part of the links than this ends the reduction.
+#: A round of rake and compress that removes a smaller part of the links than this hands the rest to
+#: the core solver, which is exact for any graph: it decides who works, not what comes out.
 LEAST_GAIN = 0.02
 
 
@@ -70,11 +69,12 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
             .join(step, ["fu", "fv"])
             .select("u", "v", F.col("gu").alias("fu"), F.col("gv").alias("fv"), F.col("go").alias("open"), F.least("low", "glow").alias("low"), (~F.col("go") | (F.col("glow") < F.col("low"))).alias("news"))
         )
-        seen = Observation()
+        seen, before = Observation(), state
         state = cut(state.where("not open").withColumn("news", F.lit(False)).unionByName(moved).observe(seen, F.count_if("open").alias("open"), F.count_if("news").alias("news")).drop("news"))
         # while a chain is open some arc of it closes in each round, and a ring's least vertex
         # reaches further arcs until all know it: without news only settled rings are open
         left = seen.get["open"] if seen.get["news"] else 0
+        release(before)
     ends = cut(state.groupBy("v").agg(F.min(F.when(~F.col("open"), F.col("fv"))).alias("t1"), F.max(F.when(~F.col("open"), F.col("fv"))).alias("t2"), F.min("low").alias("low")))
     hung = ends.select("v", F.coalesce("t1", "low").alias("parent")).where(F.col("v") != F.col("parent"))
     spliced = ends.where(F.col("t1").isNotNull() & (F.col("t1") != F.col("t2"))).select(F.col("t1").alias("a"), F.col("t2").alias("b"))
@@ -82,11 +82,12 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return _ordered(kept.select("a", "b").unionByName(spliced)), hung, size
 
 
-def _core(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _core(edges: DataFrame) -> DataFrame:
     """(v, parent) of the core by alternating large-star and small-star; a root has no row."""
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(edges)
-    for _ in range(rounds):
+    own = None  # the links written in the round before
+    while True:
         arcs = _both(edges)
         low = arcs.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("m"))
         large = arcs.where("w > v").join(low, "v").select(F.col("m").alias("a"), F.col("w").alias("b"))
@@ -95,12 +96,12 @@ def _core(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
         edges = cut(_ordered(small.unionByName(least.select(F.col("m").alias("a"), "b"))))
-        now = mark(edges)
+        if own is not None:
+            release(own)
+        own, now = edges, mark(edges)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("the core did not settle")
     return edges.select(F.col("b").alias("v"), F.col("a").alias("parent"))
 
 
@@ -115,9 +116,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     edges, links = cut_counted(_ordered(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())))
     parents = edges.select(F.col("b").alias("v"), F.col("a").alias("parent")).limit(0)
     depth = 1
-    for _ in range(REDUCE_ROUNDS):
-        if not links:
-            break
+    while links:
         raked, stripped, n = _rake(edges)
         edges, spliced, m = _compress(cut(raked) if n else edges)
         parents = parents.unionByName(stripped).unionByName(spliced)
@@ -131,8 +130,9 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     # restoring: each removed vertex follows its parents, layer by layer, by doubling the steps
     parents = cut(parents)
     while depth > 1:
-        up = parents.select(F.col("v").alias("parent"), F.col("parent").alias("up"))
+        up, before = parents.select(F.col("v").alias("parent"), F.col("parent").alias("up")), parents
         parents = cut(parents.join(up, "parent", "left").select("v", F.coalesce("up", "parent").alias("parent")))
+        release(before)
         depth = (depth + 1) // 2
     # a vertex without parent is its group's label; the group is named by its smallest vertex
     least = parents.groupBy("parent").agg(F.min("v").alias("low")).select("parent", F.least("low", "parent").alias("group"))

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 
 from quaverlake.llm.names import flat, full_names, given_fits, osa, person, placeholder, sound, turned
 from quaverlake.llm.triejoin import near_words
-from quaverlake.session import cut
+from quaverlake.session import cut, release
 
 # Kinds of bodies by their words, each with its short forms and other names.
 KINDS = {
@@ -228,6 +228,7 @@ def name_entities(names: DataFrame) -> DataFrame:
         up = root.select("field", F.col("sur").alias("rs"), F.col("giv").alias("rg"), F.col("rs").alias("us"), F.col("rg").alias("ug"))
         further = cut(root.join(up, ["field", "rs", "rg"]).select("field", "sur", "giv", "w", F.col("us").alias("rs"), F.col("ug").alias("rg"), ((F.col("us") != F.col("rs")) | (F.col("ug") != F.col("rg"))).alias("moved")))
         moved = not further.where("moved").isEmpty()
+        release(root)
         root = further.drop("moved")
     whole = f.where("full").join(root.select("field", "sur", "giv", F.col("rs").alias("e_sur"), F.col("rg").alias("e_giv")), ["field", "sur", "giv"]).select("field", "name", "e_sur", "e_giv")
 
