@@ -2,7 +2,7 @@
 
 import pytest
 
-from quaverlake.llm.lookalikes import Rewriter, classes, count_lookalikes, disguised
+from quaverlake.llm.lookalikes import Rewriter, classes, confusable_letters, count_lookalikes, disguised
 
 REWRITE = Rewriter()
 SAME = ["", "plain", "Dvořák", "秋雨小夜曲", "سماعي الميناء", "नदी का गीत", "Песня старого маяка", "Габриел Зеллесхофер", "Sonata Песня", "น้ำใจ", "ΣΩΚΡΑΤΗΣ", "5º – “x”"]
@@ -51,3 +51,17 @@ def test_operator(spark):
     assert disguised(df.limit(0), "id", ("title", "composer")).count() == 0
     counts = count_lookalikes(df, "title")
     assert counts["\u043e"] == 3 and counts["n"] >= 3
+
+
+def test_letters_of_all_scripts(spark):
+    more = confusable_letters(spark)
+    assert {("Ꭺ", "A"), ("ꓢ", "S"), ("Օ", "O")} <= set(more)
+    rewrite = Rewriter(None, more)
+    assert [rewrite(t) for t in ("Ꮪonatа", "Տonata", "ꓢonata", "ⅼa")] == ["Sonata", "Sonata", "Sonata", "la"]
+    assert all(rewrite(t) == t for t in ("ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "Sonata ᏣᎳᎩ", "Սիմֆոնիա in C", "Συμφωνία", "Śnieg", "שלום in C"))
+
+
+def test_rewriting_goes_on_until_nothing_changes():
+    odd = "e" + "​́" * 1 + "".join("­́" for _ in range(8))
+    once = REWRITE(odd)
+    assert REWRITE(once) == once and "­" not in once and "​" not in once
