@@ -118,14 +118,14 @@ def likely_name(c: Column) -> Column:
 
 def parse_title(c: Column) -> Column:
     """A struct (composer, work, movement) read from "Composer, Work - Movement - Performer"."""
-    t = F.trim(c)
+    t = trim_blanks(c)
     tail = F.lower(F.regexp_extract(t, r"^.+ - (.*?)$", 1))
-    head = F.trim(F.regexp_extract(t, r"^(.+) - .*?$", 1))
+    head = trim_blanks(F.regexp_extract(t, r"^(.+) - .*?$", 1))
     t = F.when((head != "") & tail.rlike("band|orchestra|performed|ensemble"), head).otherwise(t)
-    first = F.trim(F.substring_index(t, ",", 1))
-    rest = F.trim(F.regexp_extract(t, r"^[^,]*,(.*)$", 1))
-    named = t.contains(",") & (F.size(F.filter(F.split(first, r"\s+"), lambda w: w != "")) <= 2) & (first != "") & likely_name(first)
-    work, movement = F.trim(F.regexp_extract(rest, r"^(.+) - .*?$", 1)), F.trim(F.regexp_extract(rest, r"^.+ - (.*?)$", 1))
+    first = trim_blanks(F.substring_index(t, ",", 1))
+    rest = trim_blanks(F.regexp_extract(t, r"^[^,]*,(.*)$", 1))
+    named = t.contains(",") & (F.size(F.filter(F.split(first, f"{BLANK}+"), lambda w: w != "")) <= 2) & (first != "") & likely_name(first)
+    work, movement = trim_blanks(F.regexp_extract(rest, r"^(.+) - .*?$", 1)), trim_blanks(F.regexp_extract(rest, r"^.+ - (.*?)$", 1))
     split = named & rest.rlike("^.+ - ")
     return F.struct(
         F.when(named, first).otherwise("").alias("composer"),
@@ -236,7 +236,7 @@ def display_title(context: str = "global") -> Column:
 
 
 def media_format(mime: Column, title: Column, by_extension: bool = False) -> Column:
-    """The format token of a MIME type and file name, "" for what is no audio."""
+    """The format token of a MIME type and file name, "" for what is no audio. The types are fixed values."""
     ext = F.lower(F.regexp_extract(title, r"(\.[^./]*)$", 1))
     t = (
         F.when(mime == "audio/ogg", F.when(ext == ".opus", "opus").otherwise("ogg"))
@@ -255,7 +255,7 @@ def media_format(mime: Column, title: Column, by_extension: bool = False) -> Col
 
 
 def label_format(c: Column) -> Column:
-    """The format token of an archive's label, "" for what is no audio."""
+    """The format token of an archive's label, "" for what is no audio. The labels are fixed values."""
     low = F.lower(F.trim(c))
     return (
         F.when(low == "ogg vorbis", "ogg").when(low.isin("vbr mp3", "mp3", "128kbps mp3", "64kbps mp3"), "mp3").when(low.isin("opus", "ogg opus"), "opus")

@@ -16,9 +16,10 @@ DOUBTFUL, DOUBTFUL_CORRECTION = 0.55, 0.75
 
 
 def prompt() -> Column:
-    """The lines that describe a track; what is missing has no line."""
-    line = lambda label, c: F.when(blank_to_null(F.col(c)).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c)))
-    return F.concat_ws("\n", line("title", "title"), line("work", "work"), line("movement", "movement"), line("composer", "composer"), line("performer", "performer"), line("album", "album"), line("source", "source"))
+    """The lines that describe a track; title and source always, what else is missing has no line."""
+    some = lambda label, c: F.when(blank_to_null(F.col(c)).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c), F.lit("\n")))
+    always = lambda label, c: F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c), F.lit("")), F.lit("\n"))
+    return F.concat_ws("", always("Title", "title"), some("Source-provided composer (may be wrong)", "composer"), some("Performer", "performer"), some("Album", "album"), some("Source item", "source_item"), always("Source", "source"))
 
 
 def parse_answer(c: Column) -> Column:
@@ -26,12 +27,21 @@ def parse_answer(c: Column) -> Column:
     return F.from_json(first_json_object(c), ANSWER)
 
 
-def ask(prompts: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
-    """``(id, answer)`` of ``(id, prompt)``, a batch per call of the model."""
+def ask(prompts: DataFrame, model: Callable[[list[str]], list[str]], forgiving: bool = False) -> DataFrame:
+    """``(id, answer)`` of ``(id, prompt)``, a batch per call of the model.
+
+    With ``forgiving`` a batch whose call raises has no answers instead of failing the job.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "answer": model(list(pdf["prompt"]))})
+            try:
+                answers = model(list(pdf["prompt"]))
+            except Exception:
+                if not forgiving:
+                    raise
+                continue
+            yield pd.DataFrame({"id": pdf["id"], "answer": answers})
 
     return prompts.select("id", "prompt").mapInPandas(run, "id string, answer string")
 
@@ -43,12 +53,14 @@ def doubtful(a: Column) -> Column:
 
 
 def enrich(tracks: DataFrame, bulk: Callable[[list[str]], list[str]], better: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
-    """``(id, answer struct)``; doubtful answers are replaced by the better model's if it gives one."""
+    """``(id, answer struct)``; doubtful answers are replaced by the better model's if it gives one.
+
+    Where the better model fails the first answer stays."""
     asked = tracks.select("id", prompt().alias("prompt"))
     first = ask(asked, bulk).select("id", parse_answer(F.col("answer")).alias("a"))
     if better is None:
         return first
-    again = ask(asked.join(first.where(doubtful(F.col("a"))).select("id"), "id", "left_semi"), better).select("id", parse_answer(F.col("answer")).alias("b"))
+    again = ask(asked.join(first.where(doubtful(F.col("a"))).select("id"), "id", "left_semi"), better, forgiving=True).select("id", parse_answer(F.col("answer")).alias("b"))
     return first.join(again, "id", "left").select("id", F.when(F.col("b.confidence").isNotNull(), F.col("b")).otherwise(F.col("a")).alias("a"))
 
 

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from quaverlake.functions import text as X
 from quaverlake.operators import catalogue as C
-from quaverlake.operators import dedup, graph, rates
+from quaverlake.operators import graph, rates
 from quaverlake.operators import search as S
 from quaverlake.session import current, cut, table
-from quaverlake.sources import landed
 from quaverlake.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +37,9 @@ def tracks(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     return current(table(spark, sf, "tracks"), *cols)
 
 
+_KEY = "trim(regexp_replace(strip_accents(lower({0})), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
+_WORK_ID = "case when coalesce({0}, '') <> '' and coalesce({1}, '') <> '' then sha1(concat_ws('|', {0}, {1}, nullif({2}, ''))) end".format(*[_KEY.format(c) for c in ("composer_canonical", "work_title", "catalog")])
+
 PLAY = ("status", "caf_path", "dup_of")
 
 
@@ -73,9 +75,9 @@ def a1_status_counts(spark, sf):
     return tracks(spark, sf, "source", "status").groupBy("source", "status").agg(F.count("*").alias("n"))
 
 
-@query(_T + "select status, count(*) as n from t where status not in ('done', 'failed', 'skipped', 'duplicate') group by status")
+@query(_T + "select status, count(*) as n from t where status not in ('done', 'failed', 'skipped') group by status")
 def a2_pending(spark, sf):
-    return tracks(spark, sf, "status").where(~F.col("status").isin("done", "failed", "skipped", "duplicate")).groupBy("status").agg(F.count("*").alias("n"))
+    return tracks(spark, sf, "status").where(~F.col("status").isin("done", "failed", "skipped")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -133,14 +135,6 @@ def j4_upsert(spark, sf):
     return C.upsert(n.select("f.id", "f.title", "track_count", F.lit(0).cast("bigint").alias("created_at")), w, "id", keep=("created_at",))
 
 
-_FP = _T + ", f as (select id, duration_sec as d, nullif(original_sha1, '') as sha, audio_fingerprint as fp from t where audio_fingerprint is not null and duration_sec is not null) "
-
-
-@query(_FP + "select a.id as id_a, b.id as id_b from f a join f b on a.id < b.id and abs(a.d - b.d) <= 3.0 where a.sha = b.sha or (a.fp like 'exact:%' and a.fp = b.fp)")
-def j5_range_join(spark, sf):
-    """Tracks of like duration with equal checksum or exact signature."""
-    t = tracks(spark, sf, "duration_sec", "original_sha1", "audio_fingerprint").where("audio_fingerprint is not null").select("id", F.col("duration_sec").alias("d"), F.nullif("original_sha1", F.lit("")).alias("sha"), F.col("audio_fingerprint").alias("fp"))
-    return dedup.range_pairs(t, "id", "d", 3.0, "sha", "fp").where("sha_a = sha_b or (fp_a like 'exact:%' and fp_a = fp_b)").select("id_a", "id_b")
 
 
 @query(_T + "select o.id, o.opus_bytes from t o where opus_path is not null and exists (select 1 from t c where c.caf_bytes > 0 and c.caf_path is not null and split_part(c.caf_path, '.', 1) = split_part(o.opus_path, '.', 1))")
@@ -177,15 +171,6 @@ def w1_best_variant(spark, sf):
     return C.best_variant(t, ["source", "title"], F.trim("original_format"), ["opus", "ogg", "wav", "mp3", "flac"], F.col("created_at")).select("source", "title", "variants", "id")
 
 
-_LIC = "case when regexp_matches(l, 'cc0|publicdomain/zero') then 4 when regexp_matches(l, 'public domain|publicdomain|pd') then 3 when l like '%by-sa%' then 1 when l like '%by%' then 2 else 0 end"
-
-
-@query(_T + f"select original_sha1 as sha, id as canonical from (select *, lower(coalesce(license_short, '') || ' ' || coalesce(license_url, '')) as l from t where original_sha1 is not null) qualify row_number() over (partition by original_sha1 order by {_LIC} desc, coalesce(caf_bytes, 0) desc, id) = 1")
-def w2_canonical(spark, sf):
-    t = tracks(spark, sf, "original_sha1", "license_short", "license_url", "caf_bytes").where("original_sha1 is not null")
-    low = F.lower(F.concat(F.coalesce("license_short", F.lit("")), F.lit(" "), F.coalesce("license_url", F.lit(""))))
-    rank = F.when(low.rlike("cc0|publicdomain/zero"), 4).when(low.rlike("public domain|publicdomain|pd"), 3).when(low.contains("by-sa"), 1).when(low.contains("by"), 2).otherwise(0)
-    return dedup.canonical(t.withColumnRenamed("original_sha1", "sha"), "sha", rank, F.coalesce("caf_bytes", F.lit(0)))
 
 
 @query("with d as (select distinct * from progress), b as (select source, date_trunc('day', ts) as day, sum(completed::int) / 86400.0::double as v from d group by 1, 2) select source, round(list_reduce([0.0::double] || list(v order by day), lambda m, x: x * 0.2 + m * 0.8) * 86400, 6) as per_day from b group by source")
@@ -243,15 +228,12 @@ def o8_last_errors(spark, sf):
 # --- text functions over whole tables
 
 
-@query(r"select distinct title, trim(translate(regexp_replace(regexp_replace(title, '^File:', ''), '\.[^./]*$', ''), '_', ' ')) as clean, trim(regexp_replace(lower(regexp_replace(trim(translate(regexp_replace(regexp_replace(title, '^File:', ''), '\.[^./]*$', ''), '_', ' ')), '(?i)[ _-]+(ogg|oga|opus|wav|wave|mp3|flac)$', '')), '\s+', ' ', 'g')) as key from tracks where title is not null and regexp_full_match(title, '[ -~]*')")
-def x6_x7_titles(spark, sf):
-    t = table(spark, sf, "tracks").where(F.col("title").rlike("^[ -~]*$")).select("title").distinct()
-    return t.select("title", X.clean_title(F.col("title")).alias("clean"), X.title_key(F.col("title")).alias("key"))
+_BLANKS = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_CLEAN = f"regexp_replace(translate(regexp_replace(regexp_replace(title, '^File:', ''), '\\.[^./]*\\z', ''), '_', ' '), '^{_BLANKS}+|{_BLANKS}+\\z', '', 'g')"
 
 
-@query()
-def x6_x7_all_titles(spark, sf):
-    """x6_x7_titles over every title: no SQL, whose blanks and case folding are not Java's."""
+@query(f"select distinct title, {_CLEAN} as clean, trim(regexp_replace(lower(translate(regexp_replace({_CLEAN}, '(?i)[ _-]+(ogg|oga|opus|wav|wave|mp3|flac)\\z', ''), 'Σİ', 'σi')), '{_BLANKS}+', ' ', 'g')) as key from tracks where title is not null")
+def x6_x7_titles(spark, sf):
     t = table(spark, sf, "tracks").where("title is not null").select("title").distinct()
     return t.select("title", X.clean_title(F.col("title")).alias("clean"), X.title_key(F.col("title")).alias("key"))
 
@@ -268,7 +250,14 @@ def x12_years(spark, sf):
     return g.select("date_raw", X.parse_year(F.col("date_raw")).alias("year"), "n")
 
 
-@query()
+@query(
+    """with a as (select distinct title, trim(title) as t from tracks where title is not null), b as (select title, t, lower(regexp_extract(t, '^.+ - (.*?)$', 1)) as tail, trim(regexp_extract(t, '^(.+) - .*?$', 1)) as head from a),
+    c as (select title, case when head <> '' and regexp_matches(tail, 'band|orchestra|performed|ensemble') then head else t end as t from b),
+    d as (select title, t, trim(split_part(t, ',', 1)) as first, trim(regexp_extract(t, '^[^,]*,(.*)$', 1)) as rest from c),
+    e as (select *, contains(t, ',') and len(list_filter(regexp_split_to_array(first, '""" + _BLANKS + """+'), lambda w: w <> '')) <= 2 and first <> '' and regexp_matches(first, '^[\\x00-\\x60\\x7B-\\x7F]') and not regexp_matches(first, '[0-9"]') as named from d),
+    f as (select *, named and regexp_matches(rest, '^.+ - ') as split, trim(regexp_extract(rest, '^(.+) - .*?$', 1)) as w, trim(regexp_extract(rest, '^.+ - (.*?)$', 1)) as m from e)
+    select title, case when named then first else '' end as composer, case when split then w when named then rest else t end as work, case when split then m else '' end as movement from f"""
+)
 def x13_title_parts(spark, sf):
     t = table(spark, sf, "tracks").where("title is not null").select("title").distinct()
     return t.select("title", X.parse_title(F.col("title")).alias("p")).select("title", "p.*")
@@ -292,15 +281,13 @@ def x23_display_titles(spark, sf):
     return t.select("id", *[X.display_title(c).alias(f"{c}_label") for c in ("global", "composer", "work")])
 
 
-@query(_T + "select id, case when b < 1024 then b || 'B' when b < 1048576 then printf('%.1fKB', b / 1024.0) when b < 1073741824 then printf('%.1fMB', b / 1048576.0) else printf('%.1fGB', b / 1073741824.0) end as size, printf('%02d:%02d', floor(d)::int // 60, floor(d)::int % 60) as clock from (select id, original_bytes as b, duration_sec as d from t where original_bytes between 0 and 1000000000000 and duration_sec < 3600)")
+@query(
+    _T
+    + """select id, case when b < 1024 then b || 'B' when b < 1048576 then printf('%.1fKB', b / 1024.0::double) when b < 1073741824 then printf('%.1fMB', b / 1048576.0::double) when b < 1099511627776 then printf('%.1fGB', b / 1073741824.0::double) when b is not null then printf('%.1fTB', b / 1099511627776.0::double) end as size,
+    case when d is null or d < 0 or d > 3596400 then '--:--' when d >= 3600 then printf('%02d:%02d:%02d', trunc(d)::int // 3600, trunc(d)::int % 3600 // 60, trunc(d)::int % 60) else printf('%02d:%02d', trunc(d)::int // 60, trunc(d)::int % 60) end as clock from (select id, original_bytes as b, duration_sec as d from t)"""
+)
 def x25_x26_sizes(spark, sf):
-    t = tracks(spark, sf, "original_bytes", "duration_sec").where("original_bytes between 0 and 1000000000000 and duration_sec < 3600")
-    return t.select("id", X.human_bytes(F.col("original_bytes")).alias("size"), X.clock(F.col("duration_sec")).alias("clock"))
-
-
-@query()
-def x25_x26_all_sizes(spark, sf):
-    """x25_x26_sizes for every track: no SQL; a missing size is NULL, a missing duration --:--."""
+    """Sizes and durations of every track: missing, negative and impossible ones too."""
     t = tracks(spark, sf, "original_bytes", "duration_sec")
     return t.select("id", X.human_bytes(F.col("original_bytes")).alias("size"), X.clock(F.col("duration_sec")).alias("clock"))
 
@@ -316,25 +303,18 @@ def x33_json(spark, sf):
     return e.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
-@query("select source, coalesce(try_cast(last_cursor as bigint), (try_cast(last_cursor as json) ->> '$.i')::bigint, 0) as cursor, coalesce(total_known, 0) as total_known from source_state")
-def x37_cursors(spark, sf):
-    c = F.coalesce(F.col("last_cursor").try_cast("bigint"), F.get_json_object("last_cursor", "$.i").try_cast("bigint"), F.lit(0))
-    return table(spark, sf, "source_state").select("source", c.cast("bigint").alias("cursor"), F.coalesce("total_known", F.lit(0)).cast("bigint").alias("total_known"))
-
-
 @query(_T + "select id, case when audio_fingerprint like 'exact:%' then 0 else len(list_filter(string_split(audio_fingerprint, ','), lambda x: try_cast(trim(x) as bigint) between 0 and 4294967295)) end as words, coalesce(list_sum(list_transform(case when audio_fingerprint like 'exact:%' then []::varchar[] else string_split(audio_fingerprint, ',') end, lambda x: bit_count(try_cast(trim(x) as bigint))))::bigint, 0) as bits from t where audio_fingerprint is not null")
 def x38_fingerprints(spark, sf):
     t = tracks(spark, sf, "audio_fingerprint").where("audio_fingerprint is not null").select("id", X.fingerprint_words(F.col("audio_fingerprint")).alias("w"))
     return t.select("id", F.size("w").alias("words"), F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + F.bit_count(x).cast("bigint")).alias("bits"))
 
 
-@query(_T + "select id, 'exact:' || caf_bytes || ':' || trunc(duration_sec)::int || ':' || original_sha1 as signature, 'https://media.example/audio/' || id || '.caf' as url from t where caf_bytes is not null and duration_sec is not null and original_sha1 is not null")
-def x39_x48_signatures(spark, sf):
-    t = tracks(spark, sf, "caf_bytes", "duration_sec", "original_sha1").where("caf_bytes is not null and duration_sec is not null and original_sha1 is not null")
-    return t.select("id", F.concat(F.lit("exact:"), F.col("caf_bytes").cast("string"), F.lit(":"), F.col("duration_sec").cast("int").cast("string"), F.lit(":"), "original_sha1").alias("signature"), F.concat(F.lit("https://media.example/audio/"), "id", F.lit(".caf")).alias("url"))
+_ESCAPED = "url_encode('audio/' || title || '.caf')"
+for _a, _b in (("%2F", "/"), ("%24", "$"), ("%26", "&"), ("%2B", "+"), ("%3D", "="), ("%3A", ":"), ("%40", "@")):
+    _ESCAPED = f"replace({_ESCAPED}, '{_a}', '{_b}')"
 
 
-@query()
+@query(f"select distinct title, {_ESCAPED} as object_key from tracks where title is not null")
 def s14_object_keys(spark, sf):
     t = table(spark, sf, "tracks").where("title is not null").select("title").distinct()
     return t.select("title", X.path_escape(F.concat(F.lit("audio/"), F.col("title"), F.lit(".caf"))).alias("object_key"))
@@ -346,21 +326,6 @@ def s11_inventory(spark, sf):
     return t.where("path is not null").groupBy(F.split("path", r"\.")[1].alias("kind")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
-@query()
-def s4_archive_files(spark, sf):
-    """Archive item documents, written from the tracks by title, read back file by file."""
-    t = tracks(spark, sf, "source_item", "title", "composer", "date_raw", "original_format", "original_bytes", "license_url")
-    doc = t.select(
-        F.to_json(
-            F.struct(
-                F.struct(F.col("source_item").alias("identifier"), "title", F.col("composer").alias("creator"), F.col("date_raw").alias("date"), F.col("license_url").alias("licenseurl")).alias("metadata"),
-                F.array(F.struct(F.concat("id", F.lit(".dat")).alias("name"), F.col("original_format").alias("format"), F.col("original_bytes").cast("string").alias("size"), "title", F.lit("1").alias("track"))).alias("files"),
-            )
-        ).alias("doc")
-    )
-    return landed.archive_files(doc, "doc")
-
-
 # --- search
 
 _TERMS = ["symph", "min", "op"]
@@ -385,7 +350,7 @@ def ft1_index(spark, sf):
 )
 def ft3_search(spark, sf):
     """All works with words beginning so, ranked by BM25."""
-    return S.search(cut(_index(spark, sf)), "id", _TERMS).select("id", F.round("score", 9).alias("score"))
+    return S.search(_index(spark, sf), "id", _TERMS).select("id", F.round("score", 9).alias("score"))
 
 
 @query()
@@ -393,7 +358,7 @@ def ft2_track_search(spark, sf):
     """The best 200 playable tracks for a typed query, from the index of all tracks."""
     t = cut(tracks(spark, sf, "title", "work", "movement", "composer", "performer", "album", "source", *PLAY))
     ix = S.index(t, "id", X.keywords(*[F.col(c) for c in ("title", "work", "movement", "composer", "performer", "album", "source")]))
-    return S.search(cut(ix), "id", X.match_terms("Symphony minor"), 200, t.where(C.playable()))
+    return S.search(ix, "id", X.match_terms("Symphony minor"), 200, t.where(C.playable()))
 
 
 @query(_IX + "select term, count(*) as n from x where term in ('sonata', 'nocturne', 'flat') group by term")
@@ -421,24 +386,13 @@ def g1_traversal(spark, sf):
     return graph.reach(e, table(spark, sf, "region").select(k("r", "r_regionkey").alias("root")), 3).select("root", "node", "depth")
 
 
-@query()
+@query(_T + f", k as (select *, {_WORK_ID} as wid from p where enriched_at is not null) select wid as id, arg_min(composer_canonical, id) as composer_canonical, arg_min(work_title, id) as title, arg_min(struct_pack(c := catalog), id).c as catalog, count(*) as track_count from k where wid is not null group by wid")
 def g2_works(spark, sf):
     return C.group_works(tracks(spark, sf, "composer_canonical", "work_title", "catalog", "enriched_at", *PLAY))
 
 
-@query()
-def g6_duplicates(spark, sf):
-    """Every duplicate track with its canonical one: pairs, closure, choice by licence and size."""
-    t = cut(tracks(spark, sf, "duration_sec", "original_sha1", "audio_fingerprint", "license_short", "license_url", "caf_bytes"))
-    roots = cut(dedup.closure(dedup.duplicate_pairs(t)))
-    m = roots.join(t, "id").withColumn("l", F.lower(F.concat_ws(" ", "license_short", "license_url")))
-    rank = F.when(F.col("l").rlike("cc0|publicdomain/zero"), 4).when(F.col("l").rlike("public domain|publicdomain|pd"), 3).when(F.col("l").contains("by-sa"), 1).when(F.col("l").contains("by"), 2).otherwise(0)
-    best = dedup.canonical(m, "root", rank, F.coalesce("caf_bytes", F.lit(0)))
-    return roots.join(best, "root").where("id <> canonical").select("id", F.col("canonical").alias("dup_of"))
-
-
 @query("select source, stage, count(*) as events, sum(coalesce(bytes_delta, 0))::bigint as bytes, count(*) filter (where completed) as completed, count(*) filter (where failed) as failed, count(*) filter (where skipped) as skipped from (select distinct * from progress) group by 1, 2")
 def t6_progress_stream(spark, sf):
     """Totals of the progress stream, repeated events counted once."""
-    s = progress.distinct_events(progress.events(spark, f"{sf}/progress.parquet"), "36500 days")
+    s = progress.distinct_events(progress.events(spark, f"{sf}/progress.parquet"), "30 days")
     return progress.progress_by_source(progress.drained(s, spark))

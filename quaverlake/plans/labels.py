@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quaverlake.functions import text as X
 from quaverlake.operators import catalogue as C
 from quaverlake.operators import enrich, rates
-from quaverlake.plans.catalogue import _T, PLAY, tracks
+from quaverlake.plans.catalogue import _T, _WORK_ID, PLAY, tracks
 from quaverlake.session import table
 
 QUERIES = {}
@@ -47,7 +47,7 @@ def j10_first_source(spark, sf):
     return d.groupBy("work_id").agg(F.min_by("source", "doc_id").alias("source"), F.count("*").alias("documents"))
 
 
-@query()
+@query(_T + f"select id, case when enriched_at is not null then {_WORK_ID} end as work_id from t")
 def j9_relink(spark, sf):
     return enrich.relink(tracks(spark, sf, "composer_canonical", "work_title", "catalog", "enriched_at"))
 
@@ -62,11 +62,11 @@ def g8_apply_enrichment(spark, sf):
 
 @query(
     _T
-    + """select id, concat_ws(chr(10), case when nullif(title, '') is not null then 'title: ' || title end, case when nullif(work, '') is not null then 'work: ' || work end, case when nullif(movement, '') is not null then 'movement: ' || movement end,
-    case when nullif(composer, '') is not null then 'composer: ' || composer end, case when nullif(performer, '') is not null then 'performer: ' || performer end, case when nullif(album, '') is not null then 'album: ' || album end, case when nullif(source, '') is not null then 'source: ' || source end) as prompt from t"""
+    + """select id, 'Title: ' || coalesce(title, '') || chr(10) || case when nullif(composer, '') is not null then 'Source-provided composer (may be wrong): ' || composer || chr(10) else '' end || case when nullif(performer, '') is not null then 'Performer: ' || performer || chr(10) else '' end
+    || case when nullif(album, '') is not null then 'Album: ' || album || chr(10) else '' end || case when nullif(source_item, '') is not null then 'Source item: ' || source_item || chr(10) else '' end || 'Source: ' || coalesce(source, '') || chr(10) as prompt from t"""
 )
 def x34_prompts(spark, sf):
-    return tracks(spark, sf, "title", "work", "movement", "composer", "performer", "album", "source").select("id", enrich.prompt().alias("prompt"))
+    return tracks(spark, sf, "title", "composer", "performer", "album", "source_item", "source").select("id", enrich.prompt().alias("prompt"))
 
 
 @query("select doc_id, case when length(text) > 50 then substring(text, 1, 49) || '…' else text end as label, substring(text, 1, 60) as cut from documents")
@@ -89,13 +89,27 @@ def x8_plain_keys(spark, sf):
     return table(spark, sf, "works").select("title", X.plain_title_key(F.col("title")).alias("key"))
 
 
-@query(_T + f"select id, regexp_replace(original_url, '^(https?://)[^/]*', '\\1***') as masked, coalesce(opus_path, caf_path, '') as play from t")
-def x41_x42_urls(spark, sf):
-    t = tracks(spark, sf, "original_url", "opus_path", "caf_path")
-    return t.select("id", F.regexp_replace("original_url", "^(https?://)[^/]*", "$1***").alias("masked"), F.coalesce("opus_path", "caf_path", F.lit("")).alias("play"))
-
-
 @query(_T + "select p.id, p.title from p where source = 'vellum_archive' and composer = 'Anselm Salvadović' order by translate(p.title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') nulls first, p.id limit 200")
 def o10_composer_tracks(spark, sf):
     t = tracks(spark, sf, "source", "composer", "title", *PLAY).where(C.playable() & (F.col("source") == "vellum_archive") & (F.col("composer") == "Anselm Salvadović"))
     return t.orderBy(X.nocase(F.col("title")), "id").limit(200).select("id", "title")
+
+
+@query(_T + "select count(*) as pending from t where status not in ('done', 'failed', 'skipped')")
+def a17_pending_total(spark, sf):
+    return tracks(spark, sf, "status").where(~F.col("status").isin("done", "failed", "skipped")).agg(F.count("*").alias("pending"))
+
+
+@query()
+def x8_all_plain_keys(spark, sf):
+    """Plain keys of every title: no SQL, which has no compatibility forms."""
+    t = table(spark, sf, "tracks").where("title is not null").select("title").distinct()
+    return t.select("title", X.plain_title_key(F.col("title")).alias("key"))
+
+
+@query()
+def x9_x10_track_keys(spark, sf):
+    """Keys and work ids of every composer and work text: no SQL, which has no compatibility forms."""
+    c = F.col
+    t = table(spark, sf, "tracks").select("composer", "work").distinct()
+    return t.select("composer", "work", X.normalize_key(c("composer")).alias("composer_key"), X.work_id(c("composer"), c("work"), F.lit(None).cast("string")).alias("work_id"))

@@ -72,6 +72,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder, deleted at the end of the driver at the latest."""
+    path = f"{shared_folder(spark).rstrip('/')}/quaverlake/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_sweep)
+    _written[path] = spark
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """:func:`cut_counted` without the count."""
     return cut_counted(df, False)[0]
@@ -85,10 +99,7 @@ def cut_counted(df: DataFrame, count: bool = True) -> tuple[DataFrame, int]:
     :func:`release` or the end of the driver. Its rows are counted as they are written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quaverlake/{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_sweep)
-    _written[path] = spark
+    path = scratch(spark)
     seen = Observation()
     (df.observe(seen, F.count(F.lit(1)).alias("n")) if count else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"] if count else -1
@@ -121,17 +132,18 @@ def _sweep() -> None:
         _delete(path)
 
 
-#: A side of a join is broadcast only up to so many rows; beyond, Catalyst shuffles it.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only up to so many rows and bytes of text; beyond, Catalyst shuffles it.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of ``size`` bytes together, else as it is.
 
-    The count stops at the bound, so a large side is not read whole to find out. Give it a
-    table or a result of :func:`cut`, which is cheap to read again.
+    Bytes are those of the rows as JSON. The count stops at the bound of rows, so a large side is not
+    read whole to find out. Give it a table or a result of :func:`cut`, which is cheap to read again.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def current(tracks: DataFrame, *cols: str) -> DataFrame:

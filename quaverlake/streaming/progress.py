@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaverlake.operators.catalogue import insert_if_absent
-from quaverlake.session import shared_folder
+from quaverlake.session import exists, scratch
 
 PROGRESS = "source string, stage string, track_id string, bytes_delta bigint, completed boolean, failed boolean, skipped boolean, err string, ts timestamp_ntz"
 
@@ -25,7 +23,7 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 
 def drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """Runs an append stream over all that is there, and reads what it wrote."""
-    at = f"{shared_folder(spark).rstrip('/')}/quaverlake/{uuid.uuid4().hex}"
+    at = scratch(spark)
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -45,10 +43,9 @@ def progress_by_source(distinct: DataFrame) -> DataFrame:
 
 def ingest(batch: DataFrame, spark: SparkSession, path: str, *keys: str) -> None:
     """For ``foreachBatch``: appends the rows whose keys the table lacks, so that a repeated batch adds nothing."""
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # no table yet
+    if not exists(spark, path):
         batch.dropDuplicates(list(keys)).write.parquet(path)
         return
+    old = spark.read.parquet(path)
     new = insert_if_absent(batch, old.limit(0), *keys).join(old.select(*keys), list(keys), "left_anti")
     new.write.mode("append").parquet(path)

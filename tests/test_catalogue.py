@@ -123,7 +123,7 @@ def test_landed_json(spark):
     assert len(r) == 1 and (r[0].composer, r[0].year, r[0].format, r[0].bytes, r[0].url) == ("A; B", 1901, "ogg", 12, "https://archive.example/download/it/x%20y.ogg")
     page = '{"query":{"pages":{"7":{"title":"File:A_b.oga","imageinfo":[{"url":"u","mime":"audio/ogg","size":5,"extmetadata":{"LicenseShortName":{"value":"<b>CC0</b>"}}}]}}}}'
     p = landed.image_files(spark.createDataFrame([(page,)], "d string"), "d").first()
-    assert (p.work_key, p.format, p.license_short, p.artist) == ("a b", "ogg", "CC0", None)
+    assert (p.work_key, p.format, p.license_short, p.performer) == ("a b", "ogg", "CC0", "")
 
 
 def test_files(spark, tmp_path):

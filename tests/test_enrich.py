@@ -19,8 +19,9 @@ def test_prompt_and_answers(spark):
     def better(prompts):
         return ['{"composer_canonical":"Anna Bell","work_title":"Sonata No. 1","composer_corrected":true,"confidence":0.95}' if "Sonata" in p else "broken" for p in prompts]
 
-    t = tracks(spark)
-    assert {r.p for r in t.select(E.prompt().alias("p")).collect()} == {"title: Sonata\ncomposer: Bel\nsource: s", "title: March\ncomposer: Dorn\nsource: s", "source: s"}
+    t = tracks(spark).withColumn("source_item", F.lit(None).cast("string"))
+    lead = "Source-provided composer (may be wrong): "
+    assert {r.p for r in t.withColumn("source_item", F.when(F.col("id") == "1", "x")).select(E.prompt().alias("p")).collect()} == {f"Title: Sonata\n{lead}Bel\nSource item: x\nSource: s\n", f"Title: March\n{lead}Dorn\nSource: s\n", "Title: \nSource: s\n"}
     one = {r.id: r.a for r in E.enrich(t, bulk).collect()}
     assert one["1"].composer_canonical == "Ann Bell" and one["3"] is None or one["3"].confidence is None
     two = E.enrich(t, bulk, better)
@@ -31,6 +32,17 @@ def test_prompt_and_answers(spark):
     assert E.apply(t, two.limit(0)).exceptAll(t).count() == 0
 
 
+def test_first_answer_stays_where_the_better_model_fails(spark):
+    def bulk(prompts):
+        return ['{"composer_canonical":"Ann Bell","composer_corrected":false,"confidence":0.3}' for _ in prompts]
+
+    def better(prompts):
+        raise RuntimeError("no answer")
+
+    t = tracks(spark).withColumn("source_item", F.lit(""))
+    assert [r.a.confidence for r in E.enrich(t, bulk, better).collect()] == [0.3] * 3
+
+
 def test_relink(spark):
     t = tracks(spark).withColumn("composer_canonical", F.lit("Ann Bell")).withColumn("work_title", F.lit("Sonata")).withColumn("enriched_at", F.when(F.col("id") == "1", 5).cast("bigint"))
     got = {r.id: r.work_id for r in E.relink(t).collect()}
