@@ -50,7 +50,10 @@ def _words(text: str) -> list[str]:
 
 
 def work_parts(text: str, repairs: dict[str, str] | None = None) -> dict[str, str]:
-    """The parts a work's title gives: g kind, n number, k key, o opus, w words of its by-name."""
+    """The parts a work's title gives: g kind, n number, k key, o opus, w words of its by-name.
+
+    ``own`` says that the kind is the title's own word and none of :data:`GENRES`.
+    """
     s = flat(text).replace("_", " ")
     if repairs:
         s = re.sub(r"[^\W\d_]+", lambda m: repairs.get(m[0], m[0]), s)
@@ -98,6 +101,15 @@ def work_parts(text: str, repairs: dict[str, str] | None = None) -> dict[str, st
         rest = rest.replace("|", " ")
     else:
         rest = s
+        # a kind that the list above lacks goes by its own word, if a number or key says it is one
+        number = re.search(r"(?:(?<!\w)n[ro°º]?\s*[.°º]*\s*|#\s*|[^\W\d_]\s+)(\d+)", rest)
+        plain = [w for w in _words(rest) if w not in ("the", "no", "nr", "n", "in")]
+        counted = [w for w in plain if w in ORDINALS or w in ROMAN]
+        named = " ".join(w for w in plain if w not in counted)
+        if named and (number or counted and (len(plain) > 1) or "k" in out):
+            out["g"], out["own"] = named, "1"
+            if number or counted:
+                out["n"] = str(int(number[1])) if number else str(ORDINALS.get(counted[0]) or ROMAN[counted[0]])
     if "w" not in out and "g" not in out and not re.search(r"\d", rest):
         left = [w for w in _words(rest) if w != "the" and len(w) > 1]
         if left:
@@ -105,8 +117,9 @@ def work_parts(text: str, repairs: dict[str, str] | None = None) -> dict[str, st
     return out
 
 
-def _features(parts: dict[str, str]) -> list[str]:
-    return [f"{k}:{v}" for k, v in parts.items() if k != "w"] + [f"w:{w}" for w in parts.get("w", "").split()]
+def _features(parts: dict[str, str], alike: dict[str, float]) -> list[tuple[str, float]]:
+    """The features of a title, each with how alike it is to what was typed."""
+    return [(f"{k}:{v}", min((alike.get(w, 1.0) for w in v.split()), default=1.0)) for k, v in parts.items() if k in "gnko"] + [(f"w:{w}", alike.get(w, 1.0)) for w in parts.get("w", "").split()]
 
 
 def match_composers(texts: DataFrame, refs: DataFrame) -> DataFrame:
@@ -159,7 +172,7 @@ def match_composers(texts: DataFrame, refs: DataFrame) -> DataFrame:
             yield pdf[["text", "ref_id", "score", "prior"]].assign(fit=fit)
 
     checked = joined.mapInPandas(check, "text string, ref_id string, score double, prior long, fit double").where("fit > 0")
-    order = W.partitionBy("text").orderBy(F.desc(F.round("fit", 1)), F.desc("prior"), F.desc("score"), "ref_id")
+    order = W.partitionBy("text").orderBy(F.desc(F.round("score", 6)), F.desc(F.round("fit", 1)), F.desc("prior"), "ref_id")
     best = checked.withColumn("k", F.row_number().over(order)).where("k = 1").select("text", "ref_id")
     return distinct.select("text").join(best, "text", "left").select("text", F.coalesce("ref_id", F.lit(NONE)).alias("ref_id"))
 
@@ -185,31 +198,45 @@ def match_works(texts: DataFrame, refs: DataFrame) -> DataFrame:
     fixed = spark.createDataFrame([(w,) for w in sorted(_FIXED_WORDS) if len(w) > 3], "word string")
     vocabulary = cut(held.select(F.col("title").alias("text")).distinct().mapInPandas(spelled, spell).select("word").union(fixed).distinct())
     near = near_words(typed.select("word").union(vocabulary), "word")
-    fixes = (
-        near.join(small(vocabulary.select(F.col("word").alias("near"))), "near", "left_semi")
-        .join(small(vocabulary), "word", "left_anti")
-        .groupBy("word")
-        .agg(F.min(F.struct("edits", "near")).alias("m"))
-        .select("word", F.col("m.near").alias("near"))
+    fixes = cut(
+        near.join(small(vocabulary.select(F.col("word").alias("near"))), "near", "left_semi").join(small(vocabulary), "word", "left_anti").select("word", "near", "edits")
     )
-    repairs = typed.join(fixes, "word").groupBy("text").agg(F.map_from_entries(F.collect_set(F.struct("word", "near"))).alias("repairs"))
-    shape = "g string, n string, k string, o string, w string"
+    # every word of the list that a typed one may be, those of the owner's works first
+    owned = held.select("owner", F.col("title").alias("text")).join(held.select(F.col("title").alias("text")).distinct().mapInPandas(spelled, spell), "text").select("owner", F.col("word").alias("near"), F.lit(True).alias("held")).distinct()
+    asked_words = distinct.join(typed.join(fixes, "word"), "text").join(small(cut(owned)), ["owner", "near"], "left")
+    chosen = asked_words.groupBy("owner", "text", "word").agg(F.min(F.struct("edits", F.col("held").isNull().alias("other"), "near")).alias("m"))
+    repairs = chosen.groupBy("owner", "text").agg(F.sort_array(F.collect_set(F.struct("word", "m.near", "m.edits"))).alias("repairs"))
+    shape = "g string, own string, n string, k string, o string, w string"
+    names = ("g", "own", "n", "k", "o", "w")
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(t, _features(p), *(p.get(x) for x in "gnkow")) for t, r in zip(pdf["text"], pdf["repairs"], strict=True) for p in [work_parts(t, dict(r) if r is not None else None)]]
-            yield pd.DataFrame(rows, columns=["text", "features", *"gnkow"])
-
-    parsed = cut(distinct.select("text").distinct().join(repairs, "text", "left").mapInPandas(parts, f"text string, features array<string>, {shape}"))
+            rows = []
+            for t, r in zip(pdf["text"], pdf["repairs"], strict=True):
+                fixed = [] if r is None else [(x["word"], x["near"], x["edits"]) for x in r]
+                p = work_parts(t, {w: n for w, n, _ in fixed})
+                alike = {n: 1 - 0.25 * e for _, n, e in fixed}
+                rows.append((t, r, [{"feature": f, "alike": a} for f, a in _features(p, alike)], *(p.get(x) for x in names)))
+            yield pd.DataFrame(rows, columns=["text", "repairs", "features", *names])
+
+    fixed_kind = "array<struct<word:string,near:string,edits:int>>"
+    feature_kind = "array<struct<feature:string,alike:double>>"
+    read = f"text string, repairs {fixed_kind}, features {feature_kind}, {shape}"
+    # a text is read once for each set of repairs
+    asked = cut(distinct.join(repairs, ["owner", "text"], "left"))
+    parsed = cut(asked.select("text", "repairs").distinct().mapInPandas(parts, read))
     catalogued = held.select("ref_id", "owner", F.concat_ws(", ", "title", "catalog").alias("text"))
-    entry = cut(catalogued.join(catalogued.select("text").distinct().withColumn("repairs", F.lit(None).cast("map<string,string>")).mapInPandas(parts, f"text string, features array<string>, {shape}"), "text"))
-    feature = entry.select("owner", "ref_id", F.explode("features").alias("feature"))
+    entry = cut(catalogued.join(catalogued.select("text").distinct().withColumn("repairs", F.lit(None).cast(fixed_kind)).mapInPandas(parts, read).drop("repairs"), "text"))
+    feature = entry.select("owner", "ref_id", F.explode("features.feature").alias("feature")).distinct()
     n = max(entry.count(), 1)
     idf = feature.groupBy("feature").agg(F.log(F.lit(1.0 + n) / F.count("*")).alias("idf"))
     postings = small(cut(feature.join(idf, "feature")))
-    asked = distinct.join(parsed, "text")
-    scored = asked.select("owner", "text", F.explode("features").alias("feature")).join(postings, ["owner", "feature"]).groupBy("owner", "text", "ref_id").agg(F.sum("idf").alias("score"))
-    both = scored.join(parsed.drop("features"), "text").join(small(entry).select("ref_id", *[F.col(c).alias(f"r{c}") for c in "gnkow"]), "ref_id")
+    # an own word that is no kind of the list says nothing
+    kinds = small(cut(entry.where("g is not null").select("g", F.lit(True).alias("listed")).distinct()))
+    read = parsed.join(kinds, "g", "left").withColumn("g", F.when(F.col("own").isNull() | F.col("listed"), F.col("g")))
+    asked = cut(asked.join(read.withColumnRenamed("repairs", "as_read"), (asked["text"] == read["text"]) & asked["repairs"].eqNullSafe(F.col("as_read"))).select("owner", asked["text"], "features", *"gnkow"))
+    scored = asked.select("owner", "text", F.inline("features")).join(postings, ["owner", "feature"]).groupBy("owner", "text", "ref_id").agg(F.sum(F.col("alike") * F.col("idf")).alias("score"))
+    both = scored.join(asked.drop("features"), ["owner", "text"]).join(small(entry).select("ref_id", *[F.col(c).alias(f"r{c}") for c in "gnkow"]), "ref_id")
     agree = lambda c: F.coalesce(F.col(c) == F.col(f"r{c}"), F.lit(False))
     clash = lambda c: F.coalesce(F.col(c) != F.col(f"r{c}"), F.lit(False))
     fits = both.where(~(clash("g") | clash("n") | clash("k") | clash("o") | clash("w")) & (agree("o") | agree("w") | (agree("g") & (agree("n") | agree("k")))))
