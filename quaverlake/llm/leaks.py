@@ -11,12 +11,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata as U
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 from operator import sub
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 RUN = 10
 #: Words of a passage; passages overlap by RUN - 1, so each run lies whole in one.
 PASSAGE = 64
-#: Items of one index; more items make further indexes, each asked by every passage.
-ITEMS = 20_000
+#: Items of one index, and characters of their texts; more make further indexes, each asked by every passage.
+ITEMS, CHARS = 20_000, 20_000_000
 BLOCK, K1, B = 16, 1.2, 0.75
 
 _WORD = re.compile(r"[^\W_]+")
@@ -154,11 +156,22 @@ class Index:
         return out
 
 
+_held: dict[str, Index] = {}
+
+
+def _index(name: str, sent: Broadcast) -> Index:
+    """The index of a chunk of items, built once for each worker; it holds one at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Index(sent.value)
+    return _held[name]
+
+
 def leaked(docs: DataFrame, key: str, column: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """``(key, item_key)``: each document and test item with RUN or more consecutive words in common.
 
-    Whole texts of all documents are searched. Items are indexed ITEMS at a time, so no index grows
-    with their number. NULL and empty texts match nothing, nor do items shorter than RUN words;
+    Whole texts of all documents are searched. Items are indexed ITEMS or CHARS at a time, so neither
+    the driver nor an index ever holds more; the documents are read once for each such chunk. NULL and empty texts match nothing, nor do items shorter than RUN words;
     repeated documents or items give each pair once. Only the named columns are read.
     """
     kind, ikind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
@@ -167,12 +180,13 @@ def leaked(docs: DataFrame, key: str, column: str, items: DataFrame, item_key: s
     sc = docs.sparkSession.sparkContext
     out = None
     chunk: list[tuple[int, str]] = []
+    size = 0
 
     def found(chunk: list[tuple[int, str]]) -> DataFrame:
-        sent = sc.broadcast(chunk)
+        sent, name = sc.broadcast(chunk), uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = Index(sent.value)
+            index = _index(name, sent)
             for pdf in batches:
                 hits = [(k, i) for k, t in zip(pdf["k"], pdf["t"], strict=True) for i in sorted(index.leaks(t))]
                 if hits:
@@ -182,8 +196,9 @@ def leaked(docs: DataFrame, key: str, column: str, items: DataFrame, item_key: s
 
     for r in held.orderBy("i", "t").toLocalIterator():
         chunk.append((r.i, r.t))
-        if len(chunk) == ITEMS:
-            out, chunk = (out.unionByName(found(chunk)) if out is not None else found(chunk)), []
+        size += len(r.t)
+        if len(chunk) == ITEMS or size >= CHARS:
+            out, chunk, size = (out.unionByName(found(chunk)) if out is not None else found(chunk)), [], 0
     if chunk or out is None:
         out = out.unionByName(found(chunk)) if out is not None else found(chunk)
     return out.distinct().select(F.col("k").alias(key), F.col("i").alias(item_key))
