@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -33,16 +36,26 @@ STEP, ENOUGH = 0.9, 1e-5
 EVERY = 8
 
 
+@cache
+def _encoding(path: str):
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` with ``tokens``: the number of tokens of the whole text; 0 for NULL and empty."""
+    """``docs`` with ``tokens``: the number of tokens of the whole text; 0 for NULL and empty.
+
+    The vocabulary file is the driver's and sent to the executors with the job.
+    """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", tokens long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
-
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc = _encoding(SparkFiles.get(name))  # read once for each worker
         for pdf in batches:
             yield pdf.assign(tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in pdf[text]])
 

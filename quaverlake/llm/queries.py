@@ -14,7 +14,7 @@ from quaverlake.llm.lookalikes import disguised
 from quaverlake.llm.mixing import mix, shares
 from quaverlake.llm.sentences import split_sentences
 from quaverlake.llm.survivors import best_tracks, golden_tracks
-from quaverlake.llm.variants import variant_pairs
+from quaverlake.llm.variants import name_entities, variant_pairs
 from quaverlake.operators.multivalue import split_values
 from quaverlake.session import cut, table
 
@@ -57,6 +57,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(_names(spark, sf_dir))
 
 
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the entity it stands for: one row for each, where p3_found has pairs."""
+    return name_entities(_names(spark, sf_dir)).select("field", "name", F.concat_ws("/", "e_sur", "e_giv").alias("entity"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every title and composer text that is partly made of other characters."""
     return disguised(table(spark, sf_dir, "tracks"), "id", ("title", "composer")).select(F.col("id").alias("track_id"), "field")
@@ -87,7 +92,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 _GROUPS = """
 pairs as (
