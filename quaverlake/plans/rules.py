@@ -143,14 +143,14 @@ def s5_image_files(spark, sf):
 
 @query(
     _IMG
-    + """select c as composer, 'File:' || id || ext as source_item, 'Category:Audio files of music by ' || c || case when md5(id) < '8' then '' else ' played by the House Band' end as via, case when md5(id) < '8' then '' else 'the House Band' end as performer,
+    + """select trim(c, ' ') as composer, 'File:' || id || ext as source_item, 'Category:Audio files of music by ' || c || case when md5(id) < '8' then '' else ' played by the House Band' end as via, case when md5(id) < '8' then '' else 'the House Band' end as performer,
     case when mime = 'audio/ogg' and ext = '.opus' then 'opus' when mime = 'audio/ogg' then 'ogg' when mime = 'audio/midi' then 'other' else substr(ext, 2) end as format from i
-    where (mime like 'audio/%' and mime <> 'audio/midi' or ext <> '.bin') and regexp_full_match(c, '[A-Z][a-z]+( [A-Z][a-z]+)*')"""
+    where mime like 'audio/%' and mime <> 'audio/midi' or ext <> '.bin'"""
 )
 def s6_category_files(spark, sf):
-    """Files found below the categories of composers, whose names are plain here so that they can be read off a
-    category in SQL too; half of them stand in a subcategory that names a performer, which also holds a ring and a category to skip."""
-    t = tracks(spark, sf, "composer", "original_format").select("id", F.coalesce("composer", F.lit("")).alias("c"), "original_format").where(F.col("c").rlike("^[A-Z][a-z]+( [A-Z][a-z]+)*$"))
+    """Files found below the categories of all composers; half of them stand in a subcategory that names a
+    performer. The categories also hold rings and categories to skip."""
+    t = tracks(spark, sf, "composer", "original_format").select("id", F.coalesce("composer", F.lit("")).alias("c"), "original_format")
     fmt = F.col("original_format")
     file = F.concat(F.lit("File:"), "id", F.lit("."), F.when(fmt.isin("flac", "ogg", "mp3", "wav", "opus"), fmt).otherwise("bin"))
     top = F.concat(F.lit("Category:Audio files of music by "), "c")
